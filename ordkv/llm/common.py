@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -182,3 +182,23 @@ def repeated_rows(scratch: Scratch, df: DataFrame, levels: list[list[str]], tie:
                 p[len(by) + j] = q[len(by) + j] = True
     inner = found.where("NOT edge").drop("edge")
     return inner.unionByName(df.sparkSession.createDataFrame([r for r in fixed if r[len(by)]], inner.schema))
+
+
+def running_totals(scratch: Scratch, df: DataFrame, order: list[str], sums: dict[str, str], tag: str) -> DataFrame:
+    """df with ``__index``, its rows' positions from 0 in the order of ``order``, and for each name of ``sums`` the total of that column in the rows before.
+
+    A range shuffle sorts the rows; each partition is summed, the partitions' totals (one row each) are
+    added up on the driver, and each partition adds its offset. Rows that tie in ``order`` must be alike.
+    """
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = scratch.write(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__pid", F.spark_partition_id()), tag)
+    totals = parts.groupBy("__pid").agg(F.count("*").alias("__index"), *[F.sum(c).cast("long").alias(k) for k, c in sums.items()]).orderBy("__pid").collect()
+    names, at, offsets = ["__index", *sums], [0] * (1 + len(sums)), []
+    for r in totals:
+        offsets.append((r["__pid"], *at))
+        at = [x + r[k] for x, k in zip(at, names, strict=True)]
+    schema = "__pid int, " + ", ".join(f"__at_{k} long" for k in names)
+    found = parts.join(F.broadcast(df.sparkSession.createDataFrame(offsets, schema)), "__pid")  # a row for each partition
+    before = Window.partitionBy("__pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = {"__index": F.count(F.lit(1)).over(before), **{k: F.sum(c).over(before) for k, c in sums.items()}}
+    return found.withColumns({k: F.col(f"__at_{k}") + F.coalesce(v, F.lit(0)).cast("long") for k, v in inner.items()}).drop("__pid", *[f"__at_{k}" for k in names])
