@@ -177,7 +177,9 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     scratch = Scratch(docs.sparkSession)
     packed = _pack(docs, doc_id, text)
     sampled = packed.mapInPandas(lambda it: _suffixes(it, width), "doc long, mark long, h long, g long, place long")
+    sampled = scratch.write(sampled, "sampled")  # a range shuffle reads its input twice
     shared = repeated_rows(scratch, sampled, [["h"], ["h", "g"]], ["doc", "mark", "place"], "suffixes")
+    scratch.drop(sampled)
     whole = shared.where("dup1").select("doc", "mark", "place")
     split = shared.where("NOT dup1").select("h").distinct()
     kinds = shared.where("dup1").groupBy("h", "g").agg(F.min(F.struct("doc", "mark", "place")).alias("r"))
@@ -189,8 +191,9 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     open_docs = skew_join(packed, state.where("NOT all").drop("all"), ["doc", "mark"])
     windows = scratch.write(open_docs.mapInPandas(lambda it: _split_windows(it, width), "doc long, mark long, h long, g long, place long"), "windows")
     single = repeated_rows(scratch, windows, [["h", "g"]], ["doc", "mark", "place"], "single").select("doc", "mark", "place")
-    places = whole.unionByName(single).groupBy("doc", "mark").agg(F.collect_set("place").alias("places"))
-    return skew_join(packed, scratch.write(places, "places"), ["doc", "mark"], "left")
+    places = scratch.write(whole.unionByName(single).groupBy("doc", "mark").agg(F.collect_set("place").alias("places")), "places")
+    scratch.drop(windows)
+    return skew_join(packed, places, ["doc", "mark"], "left")
 
 
 def removal_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 200) -> DataFrame:
@@ -205,6 +208,7 @@ def removal_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pd.DataFrame(rows, columns=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     done = repeats(docs, doc_id, text, width).drop("mark").mapInPandas(run, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    done = Scratch(docs.sparkSession).write(done, "report")
     return done.withColumn("doc", F.nullif("doc", F.lit(-(2**63)))).withColumnRenamed("doc", "doc_id")
 
 
