@@ -12,7 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,9 @@ from .common import Scratch
 
 #: Texts above this many characters are split without holding all their pre-tokens at once.
 _LONG = 1 << 22
-_block_limit = 24 << 20
+#: Characters of a block, and pre-tokens of a row of documents (a document is never cut).
+_block_limit = 16 << 20
+_CHUNK = 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,6 +51,15 @@ def _open(z: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(z)
 
 
+def _pack_numbers(x: np.ndarray) -> bytes:
+    """Numbers under 2**32 by planes of equal bytes, compressed."""
+    return _squeeze(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T))
+
+
+def _numbers(z: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_open(z), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 class _Block:
     """Distinct pre-tokens of some documents, numbered, and the documents as numbers."""
 
@@ -64,19 +75,34 @@ class _Block:
         self.chars += len(text)
 
     def rows(self, block: int, buckets: int) -> pd.DataFrame:
-        words = [w.encode("utf-8", "surrogatepass") for w in self.number]
+        """Rows of documents (ids, their numbers of pre-tokens, and the pre-tokens), and a row of words for each bucket.
+
+        Words are renumbered by how often they occur, so that most numbers are small; a bucket's row lists its words' numbers.
+        """
+        count = np.zeros(len(self.number), np.int64)
+        for _, x in self.docs:
+            np.add.at(count, x, 1) if len(x) < 100 else np.add(count, np.bincount(x, minlength=len(count)), out=count)
+        order = np.argsort(-count, kind="stable")
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        out, part, held = [], [], 0
+        for i, (doc, x) in enumerate(self.docs):
+            part.append((doc, x))
+            held += len(x)
+            if held >= _CHUNK or i == len(self.docs) - 1:
+                out.append((block, [d for d, _ in part], [len(y) for _, y in part], None, None, _pack_numbers(place[np.concatenate([y for _, y in part])])))
+                part, held = [], 0
+        listed = list(self.number)
+        words = [listed[i].encode("utf-8", "surrogatepass") for i in order.tolist()]
         bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-        order = np.argsort(bucket, kind="stable")
-        place = np.empty(len(words), np.uint32)
-        place[order] = np.arange(len(words), dtype=np.uint32)
-        out = [(block, doc, None, None, _squeeze(place[x]) if len(x) else _squeeze(b"")) for doc, x in self.docs]
-        counts = np.bincount(bucket, minlength=buckets) if len(words) else np.zeros(buckets, np.int64)
-        first = np.concatenate(([0], np.cumsum(counts)))
-        for b in np.flatnonzero(counts).tolist():
-            mine = [words[i] for i in order[first[b] : first[b + 1]].tolist()]
+        by = np.argsort(bucket, kind="stable")
+        first = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
+        for b in np.unique(bucket).tolist():
+            at = by[first[b] : first[b + 1]]
+            mine = [words[i] for i in at.tolist()]
             sizes = np.fromiter(map(len, mine), "<u4", len(mine))
-            out.append((block, None, b, int(first[b]), _squeeze(np.array([len(mine)], "<u4"), sizes, *mine)))
-        return pd.DataFrame(out, columns=["block", "doc", "bucket", "first", "z"]).astype({"doc": "Int64", "bucket": "Int64", "first": "Int64"})
+            out.append((block, None, None, b, _pack_numbers(np.diff(at, prepend=0)), _squeeze(np.array([len(mine)], "<u4"), sizes, *mine)))
+        return pd.DataFrame(out, columns=["block", "docs", "sizes", "bucket", "at", "z"]).astype({"bucket": "Int64"})
 
 
 def _words(z: bytes) -> list[bytes]:
@@ -86,8 +112,11 @@ def _words(z: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
-def encode(docs: DataFrame, ranks: Broadcast, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>), a row for each row of docs; null and empty texts have no ids. Other columns are not read."""
+def encode(docs: DataFrame, ranks: Broadcast, pattern: str, doc_id: str = "doc_id", text: str = "text", finish: Callable[[pd.DataFrame], pd.DataFrame] | None = None, schema: str = "ids array<int>") -> DataFrame:
+    """(doc_id, ids array<int>), a row for each row of docs; null and empty texts have no ids. Other columns are not read.
+
+    ``finish`` may turn each block's rows of ids into the columns of ``schema`` where they are made.
+    """
     spark = docs.sparkSession
     scratch, buckets = Scratch(spark), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
@@ -105,44 +134,52 @@ def encode(docs: DataFrame, ranks: Broadcast, pattern: str, doc_id: str = "doc_i
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
-        at, known = None, {}
+        bucket, known = None, {}
         for x in batches:
             done = []
-            for bucket, z in zip(x["bucket"], x["z"], strict=True):
-                if bucket != at:
-                    at, known = bucket, {}
+            for b, z in zip(x["bucket"], x["z"], strict=True):
+                if b != bucket:
+                    bucket, known = b, {}
                 ids = []
                 for w in _words(z):
                     if (found := known.get(w)) is None:
-                        found = known[w] = np.array(coder._encode_single_piece(w), "<u4")
+                        found = known[w] = np.array(coder._encode_single_piece(w), "<u4").tobytes()
                     ids.append(found)
-                done.append(_squeeze(np.fromiter(map(len, ids), "<u4", len(ids)), *[i.tobytes() for i in ids]))
-            yield pd.DataFrame({"block": x["block"], "first": x["first"], "n": [len(_words(z)) for z in x["z"]], "ids": done})
+                sizes = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
+                done.append(_pack_numbers(np.concatenate((np.array([len(ids)], np.uint32), sizes, np.frombuffer(b"".join(ids), "<u4")))))
+            yield pd.DataFrame({"block": x["block"], "at": x["at"], "ids": done})
 
     def join(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        sizes, flat = [], []
-        for n, z in sorted(zip(words["first"], zip(words["n"], words["ids"], strict=True), strict=True), key=lambda r: r[0]):
-            data = np.frombuffer(_open(z[1]), "<u4")
-            sizes.append(data[: z[0]])
-            flat.append(data[z[0] :])
-        size = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
-        flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-        start = np.cumsum(size) - size
+        at, sizes, flat = [], [], []
+        for a, z in zip(words["at"], words["ids"], strict=True):
+            data = _numbers(z)
+            n = int(data[0])
+            at.append(np.cumsum(_numbers(a), dtype=np.int64))
+            sizes.append(data[1 : 1 + n].astype(np.int64))
+            flat.append(data[1 + n :])
+        at, size, flat = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (at, sizes, flat))
+        begin, length = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        begin[at], length[at] = np.cumsum(size) - size, size
         out = []
-        for z in texts["z"]:
-            x = np.frombuffer(_open(z), np.uint32)
-            s = size[x]
-            ends = np.cumsum(s)
-            out.append(flat[np.repeat(start[x] - (ends - s), s) + np.arange(ends[-1] if len(x) else 0)].astype(np.int32))
-        return pd.DataFrame({"doc": texts["doc"], "ids": out})
+        for docs_, counts, z in zip(texts["docs"], texts["sizes"], texts["z"], strict=True):
+            x = _numbers(z)
+            s = length[x]
+            ends = np.concatenate(([0], np.cumsum(s)))
+            ids = flat[np.repeat(begin[x] - ends[:-1], s) + np.arange(ends[-1])].astype(np.int32)
+            cut = ends[np.cumsum(counts)[:-1]]
+            made = pd.DataFrame({"ids": np.split(ids, cut)})
+            out.append(pd.concat([pd.DataFrame({"doc": docs_}), finish(made) if finish else made], axis=1))
+        return pd.concat(out, ignore_index=True)
 
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("doc"), F.col(text).alias("text"))
-    blocks = scratch.write(rows.mapInPandas(split, "block long, doc long, bucket long, first long, z binary"), "blocks")
-    dealt = blocks.where("bucket IS NOT NULL").select("block", "bucket", "first", "z").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    coded = dealt.mapInPandas(merge, "block long, first long, n long, ids binary")
-    texts = blocks.where("bucket IS NULL").select("block", "doc", "z")
-    done = texts.groupBy("block").cogroup(coded.groupBy("block")).applyInPandas(join, "doc long, ids array<int>")
-    return done.select(F.nullif("doc", F.lit(-(2**63))).alias("doc_id"), "ids")
+    kinds = "block long, docs array<long>, sizes array<int>, bucket long, at binary, z binary"
+    blocks = scratch.write(rows.mapInPandas(split, kinds).withColumn("kind", F.col("bucket").isNotNull()), "blocks", by="kind")
+    dealt = blocks.where("kind").select("block", "bucket", "at", "z").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    coded = scratch.write(dealt.mapInPandas(merge, "block long, at binary, ids binary"), "words")
+    scratch.drop(blocks, within="kind=true")
+    texts = blocks.where("NOT kind").select("block", "docs", "sizes", "z")
+    done = texts.groupBy("block").cogroup(coded.groupBy("block")).applyInPandas(join, f"doc long, {schema}")
+    return done.withColumn("doc", F.nullif("doc", F.lit(-(2**63)))).withColumnRenamed("doc", "doc_id")
 
 
 class Decoder:
@@ -168,14 +205,18 @@ def decode(encoded: DataFrame, ranks: Broadcast, ids: str = "ids") -> DataFrame:
     return encoded.mapInPandas(run, f"{kinds}, decoded binary")
 
 
-def digests(encoded: DataFrame, ranks: Broadcast, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256; ids if asked) of (doc_id, ids): digests of the ids as little-endian 32-bit integers, and of what they decode to."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = Decoder(ranks.value)
-        for x in batches:
-            rows = [(len(i), hashlib.sha256(np.asarray(i, "<u4").tobytes()).hexdigest(), hashlib.sha256(coder.bytes_of(i)).hexdigest()) for i in x["ids"]]
-            made = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            yield pd.concat([x[["doc_id"]].reset_index(drop=True), made, *([x[["ids"]].reset_index(drop=True)] if keep_ids else [])], axis=1)
+def digests(docs: DataFrame, ranks: Broadcast, pattern: str, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256; ids if asked): ``encode``, and digests of the ids as little-endian 32-bit integers and of what they decode to."""
+
+    made_once: list[Decoder] = []
+
+    def finish(x: pd.DataFrame) -> pd.DataFrame:
+        if not made_once:
+            made_once.append(Decoder(ranks.value))
+        coder = made_once[0]
+        rows = [(len(i), hashlib.sha256(i.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(coder.bytes_of(i)).hexdigest()) for i in x["ids"]]
+        made = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        return made.assign(ids=x["ids"]) if keep_ids else made
+
+    return encode(docs, ranks, pattern, doc_id, text, finish, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
 
-    kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return encoded.select("doc_id", "ids").mapInPandas(run, kinds)

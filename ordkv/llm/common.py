@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: its shuffle files go when it is done, and Python gets batches of bounded bytes however long the texts.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def words(text: Column) -> Column:
@@ -62,22 +63,25 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{tag}"
 
-    def write(self, df: DataFrame, tag: str) -> DataFrame:
-        """Write as Parquet and read again; the write's own shuffle files are released when it ends."""
-        path, before = self.path(tag), self.spark.conf.get(_CLEAN, None)
-        self.spark.conf.set(_CLEAN, "true")
+    def write(self, df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+        """Write as Parquet (in folders by a column's values, if given) and read again; the write's own shuffle files are released when it ends."""
+        path, conf = self.path(tag), self.spark.conf
+        before = {k: conf.get(k, None) for k in _WHILE_WRITING}
+        for k, v in _WHILE_WRITING.items():
+            conf.set(k, v)
         try:
-            df.write.option("compression", "zstd").parquet(path)
+            (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
         finally:
-            self.spark.conf.unset(_CLEAN) if before is None else self.spark.conf.set(_CLEAN, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._ordkv_path = path
         return out
 
-    def drop(self, *frames: DataFrame) -> None:
-        """Delete tables that nothing reads any more."""
+    def drop(self, *frames: DataFrame, within: str = "") -> None:
+        """Delete tables that nothing reads any more, or a folder within them."""
         for df in frames:
-            _remove(self.spark, df._ordkv_path)
+            _remove(self.spark, f"{df._ordkv_path}/{within}")
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

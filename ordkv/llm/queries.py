@@ -61,7 +61,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = vocabulary(spark)
-    return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), ranks, pattern), ranks)
+    return bpe.digests(_table(spark, sf_dir, "documents"), ranks, pattern)
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

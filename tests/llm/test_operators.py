@@ -290,6 +290,7 @@ def test_shards(docs, empty, n):
 
 def test_bpe(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(bpe, "_block_limit", 3000)
+    monkeypatch.setattr(bpe, "_CHUNK", 500)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ranks = bpe.share_ranks(spark, path)
     coder = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
@@ -299,7 +300,7 @@ def test_bpe(spark, docs, empty, monkeypatch):
     want = Counter((r.doc_id, tuple(coder.encode_ordinary(r.text or "")), r.text or "") for r in table.collect())
     assert Counter((r.doc_id, tuple(r.ids)) for r in encoded.collect()) == Counter({(a, b): 0 for a, b, _ in want}) + Counter(x[:2] for x in want.elements())
     assert Counter((r.doc_id, bytes(r.decoded).decode()) for r in bpe.decode(encoded, ranks).collect()) == Counter((a, c) for a, _, c in want.elements())
-    for r in bpe.digests(encoded, ranks, keep_ids=True).collect():
+    for r in bpe.digests(table, ranks, public_tokenizers.PATTERN, keep_ids=True).collect():
         assert r.n_tokens == len(r.ids) and r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest()
     assert not bpe.encode(empty, ranks, public_tokenizers.PATTERN).collect()
 
