@@ -1,0 +1,135 @@
+"""Codecs: golden bytes, every single damage, round trips."""
+
+import random
+
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
+from ordkv.errors import CorruptionError, ProtocolError
+from ordkv.functions import codecs as c
+from ordkv.functions.ranges import Range, overlap, successor
+
+ENTRIES = [c.Entry(f"key{i:04d}".encode(), i + 1, int(i == 13), b"" if i == 13 else f"value-{i}-payload".encode()) for i in range(60)]
+
+
+def test_crc_vectors():
+    assert [c.crc32(x) for x in (b"", b"123456789", b"The quick brown fox jumps over the lazy dog")] == [0, 0xCBF43926, 0x414FA339]
+
+
+@pytest.mark.parametrize("n", [0, 1, 127, 128, 300, 16384, 2**32 - 1, 2**63 - 1, 2**64 - 2, 2**64 - 1])
+def test_varints(n):
+    data = c.varint(n)
+    assert c.Cursor(data).varint() == n and len(data) == c.varint_length(n)
+
+
+@pytest.mark.parametrize("data", [b"\x80\x80", b"\xff" * 10 + b"\x02", b""])
+def test_bad_varints(data):
+    with pytest.raises(CorruptionError):
+        c.Cursor(data).varint()
+
+
+def test_bloom():
+    b = c.Bloom.sized(2000, 10)
+    for i in range(2000):
+        b.add(f"member-{i}".encode())
+    again = c.Bloom.from_bytes(b.to_bytes())
+    assert all(f"member-{i}".encode() in again for i in range(2000))
+    assert sum(f"other-{i}".encode() in again for i in range(10_000)) < 500
+    for bad in (b"", b"\0" * 12, b.to_bytes()[:-1], b"\x40" + b"\0" * 11 + b"\0" * 8):
+        with pytest.raises(CorruptionError):
+            c.Bloom.from_bytes(bad)
+
+
+def test_log_prefix_after_any_damage():
+    entries = [c.Entry(f"k{i:03d}".encode(), i + 1, int(i % 5 == 0), b"" if i % 5 == 0 else b"v%d" % i) for i in range(40)]
+    data = b"".join(map(c.log_frame, entries))
+    assert c.read_log(data) == (entries, len(data))
+    ends = [0]
+    for e in entries:
+        ends.append(ends[-1] + len(c.log_frame(e)))
+    for i in range(len(data)):
+        n = sum(e <= i for e in ends[1:])
+        assert c.read_log(data[:i]) == (entries[:n], ends[n])
+        assert c.read_log(data[:i] + bytes([data[i] ^ 0xFF]) + data[i + 1 :])[0] == entries[:n]
+    for length in (0xFFFFFFFF, 0x7FFFFFFF, 0x0FFFFFFF, 0x00FFFFFF):
+        assert c.read_log(length.to_bytes(4, "little") + b"\0" * 40) == ([], 0)
+    assert c.read_log(b"\0" * 64) == ([], 0)
+
+
+def test_run_files():
+    data = c.write_run(ENTRIES, 128)
+    run = c.RunFile(data)
+    assert list(run) == ENTRIES and len(run.index) > 5
+    assert all(run.get(e.key) == e for e in ENTRIES) and run.get(b"key0000x") is None and run.get(b"") is None
+    assert list(c.RunFile(c.write_run([]))) == []
+
+
+def test_any_damage_to_a_run_is_found():
+    data = c.write_run(ENTRIES, 128)
+    for i in range(len(data)):
+        for bad in (data[:i], data[:i] + bytes([data[i] ^ 0xFF]) + data[i + 1 :]):
+            with pytest.raises(CorruptionError):
+                list(c.RunFile(bad))
+
+
+def test_catalogs():
+    tables = [c.Table(0, 1, b"aaa", b"mmm", 1, 30, 4096), c.Table(2, 5, b"nnn", b"zzz", 31, 60, 8192)]
+    data = c.write_catalog(9, 77, tables)
+    assert c.read_catalog(data) == (9, 77, tables)
+    for i in range(len(data)):
+        for bad in (data[:i], data[:i] + bytes([data[i] ^ 0xFF]) + data[i + 1 :]):
+            with pytest.raises(CorruptionError):
+                c.read_catalog(bad)
+
+
+def test_garbage_is_refused():
+    rng = random.Random(0xDEADBEEF)
+    for _ in range(200):
+        data = rng.randbytes(rng.randint(1, 4096))
+        assert c.read_log(data)[0] == []
+        for f in (lambda d: list(c.RunFile(d)), c.read_catalog):
+            with pytest.raises(CorruptionError):
+                f(data)
+
+
+def test_wire():
+    assert c.request("put", b"k", b"v") == bytes.fromhex("050000000201 6b 01 76".replace(" ", ""))
+    assert c.answer() == bytes.fromhex("0100000000")
+    for made, want in (
+        (c.request("put", b"k", b"v"), ("put", b"k", b"v")),
+        (c.request("get", b""), ("get", b"")),
+        (c.request("scan", low=(b"a", True), high=(None, False), limit=7), ("scan", (b"a", True), (None, False), 7)),
+        (c.request("ping"), ("ping",)),
+    ):
+        payload, rest = c.read_frame(made)
+        assert c.decode_request(payload) == want and rest == b""
+    for bad in (b"", b"\x0a", b"\x01x", b"\x02\x05k", b"\x05\x03", b"\x03\xff"):
+        with pytest.raises(ProtocolError):
+            c.decode_request(bad)
+    with pytest.raises(ProtocolError):
+        c.read_frame(b"\xff\xff\xff\xff")
+    assert c.read_frame(b"") is None
+    pairs = [(b"a", b"1"), (b"b", b"")]
+    assert c.decode_page(c.read_frame(c.page_answer(pairs, True))[0][1:]) == (pairs, True)
+    assert c.decode_stats(c.read_frame(c.stats_answer(5, 3, 80, 2, 99, [(0, 2, 99)]))[0][1:]) == (5, 3, 80, 2, 99, [(0, 2, 99)])
+
+
+def test_rng_repeats():
+    a, b = c.Rng(7), c.Rng(7)
+    assert [a.next() for _ in range(5)] == [b.next() for _ in range(5)] and c.Rng(0).below(10) < 10
+
+
+@given(st.binary(max_size=4), st.binary(max_size=6))
+def test_prefix_ranges(p, k):
+    assert Range.prefix(p).holds(k) == k.startswith(p)
+
+
+@given(st.binary(max_size=3))
+def test_successors(p):
+    s = successor(p)
+    assert s is None if not p.strip(b"\xff") and not p.rstrip(b"\xff") else s > p + b"\xff" * 5
+
+
+def test_overlap():
+    assert overlap((b"a", b"c"), (b"c", b"d")) and not overlap((b"a", b"b"), (b"c", b"d"))
