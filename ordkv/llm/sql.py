@@ -11,6 +11,15 @@ SELECT page_id, host, path,
 FROM p
 """
 
+_OP4 = r"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+c(a, b) AS (SELECT a, b FROM l UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, least(vec_id, coalesce((SELECT min(b) FROM c WHERE c.a = vec_id), vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce((SELECT min(b) FROM c WHERE c.a = vec_id), vec_id)) AS kept FROM embeddings
+"""
+
 _OP6 = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, substr(md5(coalesce(doc_id::VARCHAR, '') || ':42'), 1, 15) AS u FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source),
@@ -50,4 +59,4 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 A
        CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to FROM q
 """
 
-SQL = {"op2_url_filter": _OP2, "op6_mixing": _OP6, "op9_chat": _OP9, "op10_warc": _OP10}
+SQL = {"op2_url_filter": _OP2, "op4_embedding": _OP4, "op6_mixing": _OP6, "op9_chat": _OP9, "op10_warc": _OP10}
