@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, skew_join
 
 
+#: Up to so many rules their index is broadcast; more are joined by a shuffle.
+BROADCAST_RULES = 100_000
+
+
 @dataclass(frozen=True)
 class Rule:
     """Fits urls of ``host`` and its subdomains (empty: of any host) whose path starts with ``path``."""
@@ -57,10 +61,12 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", default: str =
     keys = scratch.write(keyed.select("__host", "__path").distinct(), "urls")
     spread = keys.withColumn("token", F.explode(tokens(F.col("__host"), F.col("__path"))))
     known = sorted({t for r in rules for t in r.tokens})
-    counted = spread.join(spark.createDataFrame([(t,) for t in known], "token string"), "token").groupBy("token").count().collect()  # one row a token of the rules at most
+    small = F.broadcast if len(rules) <= BROADCAST_RULES else lambda x: x
+    mine = spread.join(small(spark.createDataFrame([(t,) for t in known], "token string")), "token", "left_semi")
+    counted = mine.groupBy("token").count().collect()  # one row a token of the rules at most
     held = {r["token"]: r["count"] for r in counted}
     index = [(min(r.tokens, key=lambda t: (held.get(t, 0), t)), r.host + r.path, r.regex, r.verdict) for r in rules]
-    fit = spread.join(spark.createDataFrame(index, "token string, rule string, regex string, verdict string"), "token")
+    fit = spread.join(small(spark.createDataFrame(index, "token string, rule string, regex string, verdict string")), "token")
     fit = fit.where("concat(__host, __path) RLIKE regex")
     best = fit.groupBy("__host", "__path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("b"))
     best = best.select("__host", "__path", F.col("b.rule").alias("__rule"), F.col("b.verdict").alias("__verdict"))

@@ -97,7 +97,9 @@ def test_simhash_links_for_any_bucket_limit(spark, limit):
     assert {x: found.get(x, x) for x in signed} == want
 
 
-def test_urls(spark):
+@pytest.mark.parametrize("most", [0, 100])
+def test_urls(spark, monkeypatch, most):
+    monkeypatch.setattr(urls, "BROADCAST_RULES", most)
     cases = ["http://example.com/en/1", "https://www.Example.COM/en/1?q", "https://a.www.example.com/en/", "http://x.net/es/y", "http://x.net/es", "http://net/fr/#f", "http://com", "http://com/", "nothing", None, "", "a://b://c.com/x", "ftp://h?x=/en/", "http://notexample.com/en/", "http://a.com\n/en/x"]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate([*cases, *cases])], "page_id long, url string, host string")
 
