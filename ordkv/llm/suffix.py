@@ -105,8 +105,8 @@ _SPLIT, _WHOLE, _SHOWN = 0, 1, 2
 def _suffixes(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
     for x in batches:
         parts = []
-        for doc, mark, z in zip(x["doc"], x["mark"], x["z"], strict=True):
-            if (found := _runs(_unpack(z), width)) is None:
+        for doc, mark, t in zip(x["doc"], x["mark"], x["t"], strict=True):
+            if (found := _runs(_utf8(t), width)) is None:
                 continue
             names, _, bucket, first, last = found
             parts.append((np.full(len(first), doc), np.full(len(first), mark), _long(bucket), _long(names.of(first, last + width)), first << _SHIFT | (last - first)))
@@ -121,15 +121,23 @@ def _frame(parts: list, columns: list[str]) -> pd.DataFrame:
     return pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*parts, strict=True)), strict=True)))
 
 
-def _pack(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc, mark, z): an id without nulls, a hash of the text (together they name a row), the bytes compressed."""
+def _utf8(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc, mark, t): an id without nulls, a hash of the text (together they name a row), the text."""
+    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("t"))
+
+
+def _pack(rows: DataFrame) -> DataFrame:
+    """(doc, mark, z): the texts' bytes compressed, to be shuffled."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for x in batches:
-            yield pd.DataFrame({"doc": x["doc"], "mark": x["mark"], "z": [squeeze.compress((t or "").encode("utf-8", "surrogatepass")) for t in x["t"]]})
+            yield pd.DataFrame({"doc": x["doc"], "mark": x["mark"], "z": [squeeze.compress(_utf8(t)) for t in x["t"]]})
 
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("t"))
     return rows.mapInPandas(run, "doc long, mark long, z binary")
 
 
@@ -175,8 +183,9 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     a null id is the least long. ``width`` is even, and under 2**20.
     """
     scratch = Scratch(docs.sparkSession)
-    packed = _pack(docs, doc_id, text)
-    sampled = packed.mapInPandas(lambda it: _suffixes(it, width), "doc long, mark long, h long, g long, place long")
+    rows = _rows(docs, doc_id, text)
+    packed = _pack(rows)
+    sampled = rows.mapInPandas(lambda it: _suffixes(it, width), "doc long, mark long, h long, g long, place long")
     sampled = scratch.write(sampled, "sampled")  # a range shuffle reads its input twice
     shared = repeated_rows(scratch, sampled, [["h"], ["h", "g"]], ["doc", "mark", "place"], "suffixes")
     scratch.drop(sampled)
