@@ -1,19 +1,21 @@
 """Removal of byte strings that repeat across a corpus, by bucket-pointer refinement over sampled suffixes.
 
-A suffix's bucket at depth h says which suffixes share its first h bytes. Within a text, the bucket at
-depth 2h is the pair of the buckets at depth h at the suffix itself and at offset h later; buckets carry
-64-bit names that depend on content alone, so this refinement needs no exchange between texts, and each
-doubling reuses the names made before. Only what has to be compared across texts is sorted:
+A suffix's bucket at depth h says which suffixes share its first h bytes. The initial buckets are those of
+q-grams, eight bytes as they are. A bucket at depth h + d, d <= h, is refined from depth h by the identifier of
+the bucket at offset d after the suffix; the refined identifiers serve the next refinement (8, 16, 32, 64, 100
+bytes). Identifiers are hashes of the pair of identifiers instead of ranks, so they mean the same in every text,
+and refinement up to ``width / 2`` needs no exchange. Only what has to be compared across texts is sorted:
 
-1. Of all suffixes, those at the window minima of the bucket names at depth ``width / 2`` are sorted. Equal
+1. Of all suffixes, those at the window minima of the identifiers at depth ``width / 2`` are sorted. Equal
    windows of ``width`` bytes have their minimum at the same offset, so every repeated window is led by a
    sampled suffix in a bucket of two or more. A bucket of one is finished.
-2. The same sort refines each bucket by the name of the run of windows that the suffix leads. Rows that
-   agree there repeat as a whole.
+2. The same sort refines each bucket by the identifiers at the offsets of the run of windows that the suffix
+   leads. Rows that agree there repeat as a whole.
 3. In a bucket that step 2 splits, the windows of each row that repeats only in part, and of one row of each
-   kind that repeats as a whole, are named one by one at depth ``width`` and sorted again.
+   kind that repeats as a whole, are refined one by one to depth ``width`` and sorted again.
 
-Names decide only together: step 2 takes two of them (128 bits), as does step 3.
+Texts aren't compared again byte by byte: strings that differ within the sampled ``width / 2`` bytes are taken
+for equal only if two identifiers collide (128 bits), others if one does (64 bits).
 """
 
 from __future__ import annotations
@@ -29,46 +31,51 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, repeated_rows, skew_join
 
-_BASE = 0xD6E8FEB86659FD93
-_LOW = np.uint64(0xFFFFFFFF)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-class _Names:
-    """Names of substrings of one text: a polynomial prefix sum modulo 2**64, scrambled."""
-
-    cache: dict[int, np.ndarray] = {}
-
-    def __init__(self, data: bytes):
-        self.n = len(data)
-        size = 1 << max(12, self.n.bit_length())
-        if len(self.cache.get(1, ())) < size:
-            self.cache.update({1: _powers(_BASE, size), -1: _powers(pow(_BASE, -1, 1 << 64), size)})
-        self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * self.cache[1][: self.n], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        x = (self.sums[stop] - self.sums[start]) * self.cache[-1][start]
-        for _ in range(2):
-            x ^= x >> np.uint64(32)
-            x *= np.uint64(_BASE)
-        return x ^ (x >> np.uint64(32))
-
-    def depth(self, h: int) -> np.ndarray:
-        """The bucket names of all suffixes with at least h bytes."""
-        at = np.arange(self.n - h + 1)
-        return self.of(at, at + h)
-
-
-def _leads(names: np.ndarray, w: int) -> np.ndarray:
-    """For each window of w names the position of its least one, the leftmost of equals (by 32 bits)."""
-    n = len(names)
-    x = (names & ~_LOW) | np.arange(n, dtype=np.uint64)
+#: Bytes of an initial bucket at most: what a word holds.
+_Q = 8
+_ODD = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15))
+_HALF_WORD, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
+
+
+def _refined(own: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """Identifiers of buckets refined by the identifiers at a later offset."""
+    x = own >> _HALF_WORD
+    x ^= own
+    x *= _ODD[0]
+    x ^= x >> _HALF_WORD
+    x += later
+    x *= _ODD[1]
+    x ^= x >> _HALF_WORD
+    return x
+
+
+class _Buckets:
+    """Bucket identifiers of one text's suffixes at depth ``width / 2``, and refinements of some of them."""
+
+    def __init__(self, data: bytes, width: int):
+        self.depth = width // 2
+        at = min(_Q, self.depth)
+        first = np.zeros((len(data) - at + 1, _Q), np.uint8)
+        first[:, :at] = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), at)
+        self.ids = first.view("<u8").ravel()
+        while at < self.depth:
+            step = min(at, self.depth - at)
+            self.ids = _refined(self.ids[:-step], self.ids[step:])
+            at += step
+
+    def windows(self, start: np.ndarray) -> np.ndarray:
+        """At depth ``width``."""
+        return _refined(self.ids[start], self.ids[start + self.depth])
+
+    def runs(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Of all bytes from the first window to the last, which overlap or touch."""
+        return _refined(_refined(self.windows(first), self.windows(last)), (last - first).astype(np.uint64))
+
+
+def _leads(ids: np.ndarray, w: int) -> np.ndarray:
+    """For each window of w identifiers the position of its least one, the leftmost of equals (by 32 bits)."""
+    n = len(ids)
+    x = (ids & ~_LOW) | np.arange(n, dtype=np.uint64)
     full = np.full(-(-n // w) * w, np.iinfo(np.uint64).max, np.uint64)
     full[:n] = x
     full = full.reshape(-1, w)
@@ -78,18 +85,16 @@ def _leads(names: np.ndarray, w: int) -> np.ndarray:
     return (np.minimum(back[:m], ahead[w - 1 : w - 1 + m]) & _LOW).astype(np.int64)
 
 
-def _runs(data: bytes, width: int) -> tuple[_Names, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """Names, and for each sampled suffix its position, bucket name, and the first and last window it leads."""
+def _runs(data: bytes, width: int) -> tuple[_Buckets, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Buckets, and for each sampled suffix its bucket's identifier and the first and last window it leads."""
     if len(data) < width:
         return None
-    names, half = _Names(data), width // 2
-    buckets = names.depth(half)
-    lead = _leads(buckets, width - half + 1)
+    buckets = _Buckets(data, width)
+    lead = _leads(buckets.ids, width - buckets.depth + 1)
     cut = np.flatnonzero(np.diff(lead)) + 1
     first = np.concatenate(([0], cut))
     last = np.concatenate((cut, [len(lead)])) - 1
-    at = lead[first]
-    return names, at, buckets[at], first, last
+    return buckets, buckets.ids[lead[first]], first, last
 
 
 def _long(x: np.ndarray) -> np.ndarray:
@@ -108,8 +113,8 @@ def _suffixes(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFr
         for doc, mark, t in zip(x["doc"], x["mark"], x["t"], strict=True):
             if (found := _runs(_utf8(t), width)) is None:
                 continue
-            names, _, bucket, first, last = found
-            parts.append((np.full(len(first), doc), np.full(len(first), mark), _long(bucket), _long(names.of(first, last + width)), first << _SHIFT | (last - first)))
+            buckets, bucket, first, last = found
+            parts.append((np.full(len(first), doc), np.full(len(first), mark), _long(bucket), _long(buckets.runs(first, last)), first << _SHIFT | (last - first)))
             if sum(len(p[0]) for p in parts) > 200_000:
                 yield _frame(parts, ["doc", "mark", "h", "g", "place"])
                 parts = []
@@ -146,18 +151,18 @@ def _unpack(z: bytes) -> bytes:
 
 
 def _split_windows(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
-    """Names of the single windows of runs that repeat in part, and of those that stand for runs that repeat as a whole."""
+    """Identifiers of the single windows of runs that repeat in part, and of those that stand for runs that repeat as a whole."""
     for x in batches:
         parts = []
         for doc, mark, z, places in zip(x["doc"], x["mark"], x["z"], x["shared"], strict=True):
-            names, _, bucket, first, last = _runs(_unpack(z), width)
+            buckets, bucket, first, last = _runs(_unpack(z), width)
             shared: dict[int, int] = {}
             for p in places:
                 shared[int(p) >> 2] = max(shared.get(int(p) >> 2, 0), int(p) & 3)
             state = np.fromiter((shared.get(f, -1) for f in first.tolist()), np.int64, len(first))
             for i in np.flatnonzero((state == _SPLIT) | (state == _SHOWN)).tolist():
                 s = np.arange(first[i], last[i] + 1)
-                parts.append((np.full(len(s), doc), np.full(len(s), mark), np.full(len(s), _long(bucket[i : i + 1])[0]), _long(names.of(s, s + width)), s << _SHIFT))
+                parts.append((np.full(len(s), doc), np.full(len(s), mark), np.full(len(s), _long(bucket[i : i + 1])[0]), _long(buckets.windows(s)), s << _SHIFT))
             if sum(len(p[0]) for p in parts) > 200_000:
                 yield _frame(parts, ["doc", "mark", "h", "g", "place"])
                 parts = []
