@@ -105,19 +105,22 @@ def _long(x: np.ndarray) -> np.ndarray:
 _SHIFT = 20
 #: A sampled suffix's run of windows repeats in part at most; as a whole; as a whole, and stands for its kind in step 3.
 _SPLIT, _WHOLE, _SHOWN = 0, 1, 2
+#: Rows gathered before they are passed on; a document's own come together.
+_HELD = 200_000
 
 
 def _suffixes(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
     for x in batches:
-        parts = []
+        parts, held = [], 0
         for doc, mark, t in zip(x["doc"], x["mark"], x["t"], strict=True):
             if (found := _runs(_utf8(t), width)) is None:
                 continue
             buckets, bucket, first, last = found
             parts.append((np.full(len(first), doc), np.full(len(first), mark), _long(bucket), _long(buckets.runs(first, last)), first << _SHIFT | (last - first)))
-            if sum(len(p[0]) for p in parts) > 200_000:
+            held += len(first)
+            if held > _HELD:
                 yield _frame(parts, ["doc", "mark", "h", "g", "place"])
-                parts = []
+                parts, held = [], 0
         if parts:
             yield _frame(parts, ["doc", "mark", "h", "g", "place"])
 
@@ -153,7 +156,7 @@ def _unpack(z: bytes) -> bytes:
 def _split_windows(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
     """Identifiers of the single windows of runs that repeat in part, and of those that stand for runs that repeat as a whole."""
     for x in batches:
-        parts = []
+        parts, held = [], 0
         for doc, mark, z, places in zip(x["doc"], x["mark"], x["z"], x["shared"], strict=True):
             buckets, bucket, first, last = _runs(_unpack(z), width)
             shared: dict[int, int] = {}
@@ -163,9 +166,10 @@ def _split_windows(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.D
             for i in np.flatnonzero((state == _SPLIT) | (state == _SHOWN)).tolist():
                 s = np.arange(first[i], last[i] + 1)
                 parts.append((np.full(len(s), doc), np.full(len(s), mark), np.full(len(s), _long(bucket[i : i + 1])[0]), _long(buckets.windows(s)), s << _SHIFT))
-            if sum(len(p[0]) for p in parts) > 200_000:
+                held += len(s)
+            if held > _HELD:
                 yield _frame(parts, ["doc", "mark", "h", "g", "place"])
-                parts = []
+                parts, held = [], 0
         if parts:
             yield _frame(parts, ["doc", "mark", "h", "g", "place"])
 
