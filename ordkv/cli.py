@@ -1,15 +1,18 @@
-"""Command line of a store: put, get, del, scan, compact, stats, verify, demo."""
+"""Command line of a store: put, get, del, scan, compact, stats, verify, demo, serve."""
 
 from __future__ import annotations
 
 import argparse
+import os
 import sys
+import time
 from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
 from .errors import InvalidError, StoreError
 from .options import Options
+from .server import Server
 from .store import Store
 
 
@@ -37,6 +40,19 @@ def _demo(spark: SparkSession, path: str) -> None:
         _show(store.stats())
 
 
+def _serve(store: Store, bind: str, stop_file: str) -> None:
+    """Until the file appears, or an interrupt."""
+    host, _, port = bind.rpartition(":")
+    with Server(store, host, int(port)) as server:
+        print("listening on %s:%d" % server.address, flush=True)
+        try:
+            while not (stop_file and os.path.exists(stop_file)):
+                time.sleep(0.2)
+        except KeyboardInterrupt:
+            pass
+    print("stopped")
+
+
 def main(argv: list[str] | None = None, session: Callable[[], SparkSession] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="ordkv", description=__doc__)
     parser.add_argument("--path", "-p", default="ordkv-data")
@@ -45,13 +61,20 @@ def main(argv: list[str] | None = None, session: Callable[[], SparkSession] | No
         one = sub.add_parser(name)
         for a in args:
             one.add_argument(a.rstrip("?"), **({"nargs": "?", "default": ""} if a.endswith("?") else {}))
+    one = sub.add_parser("serve")
+    one.add_argument("--bind", "-b", default="127.0.0.1:7700")
+    one.add_argument("--stop-file", default="", help="serving ends when this file appears")
+    limits = {"max_frame_bytes": "--max-frame", "max_scan_page": "--max-scan", "max_tx_bytes": "--max-tx", "memtable_bytes": "--memtable"}
+    for name, flag in limits.items():
+        one.add_argument(flag, dest=name, type=int, default=getattr(Options(), name))
     a = parser.parse_args(argv)
     spark = session() if session else SparkSession.builder.getOrCreate()
     try:
         if a.command == "demo":
             _demo(spark, a.path)
             return 0
-        with Store(spark, a.path) as store:
+        options = Options(**{name: getattr(a, name) for name in limits}) if a.command == "serve" else None
+        with Store(spark, a.path, options) as store:
             if a.command == "put":
                 store.put(a.key.encode(), a.value.encode())
                 print("ok")
@@ -72,6 +95,8 @@ def main(argv: list[str] | None = None, session: Callable[[], SparkSession] | No
                 _show(store.stats())
             elif a.command == "stats":
                 _show(store.stats())
+            elif a.command == "serve":
+                _serve(store, a.bind, a.stop_file)
             elif a.command == "verify":
                 found = store.verify()
                 print(f"ok: {found['tables']} tables, {found['entries']} entries")
