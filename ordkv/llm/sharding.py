@@ -23,8 +23,6 @@ def shards(docs: DataFrame, n: int, doc_id: str = "doc_id", text: str = "text")
     placed = scratch.write(placed, "placed")
     total = placed.agg(F.sum("size")).first()[0] or 1
     placed = placed.withColumn("shard", F.expr(f"CAST((2 * __before + size) * {n} DIV {2 * total} AS INT)"))
-    first = {r["shard"]: r["i"] for r in placed.groupBy("shard").agg(F.min("__index").alias("i")).collect()}  # a row for each shard
-    start = F.lit(0)
-    for k, i in sorted(first.items()):
-        start = F.when(F.col("shard") == k, F.lit(i)).otherwise(start)
-    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("__index") - start).cast("long").alias("slot"))
+    first = placed.groupBy("shard").agg(F.min("__index").alias("__first"))
+    placed = placed.join(F.broadcast(first), "shard")  # a row for each shard
+    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("__index") - F.col("__first")).cast("long").alias("slot"))

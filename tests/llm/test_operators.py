@@ -273,7 +273,7 @@ def test_mixing(docs, empty):
     assert not mixing.mix(empty, [1, 2, 3]).collect()
 
 
-@pytest.mark.parametrize("n", [1, 8])
+@pytest.mark.parametrize("n", [1, 8, 5000])
 def test_shards(docs, empty, n):
     found = sharding.shards(docs, n).collect()
     want = [(r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.collect()]
