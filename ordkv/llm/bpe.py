@@ -51,13 +51,26 @@ def _open(z: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(z)
 
 
+def _order(high: np.ndarray) -> np.ndarray:
+    """Where the low bytes lie: those of equal higher bytes together, as they are alike."""
+    return np.argsort(np.minimum(high, 255).astype(np.uint8), kind="stable")
+
+
 def _pack_numbers(x: np.ndarray) -> bytes:
-    """Numbers under 2**32 by planes of equal bytes, compressed."""
-    return _squeeze(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T))
+    """Numbers under 2**32 by planes of equal bytes, compressed; the low bytes come last, in an order that the others tell."""
+    x = x.astype("<u4")
+    high = x >> 8
+    return _squeeze(np.ascontiguousarray(high.view(np.uint8).reshape(-1, 4)[:, :3].T), x.astype(np.uint8)[_order(high)])
 
 
 def _numbers(z: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(_open(z), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    planes = np.frombuffer(_open(z), np.uint8).reshape(4, -1)
+    high = np.zeros((planes.shape[1], 4), np.uint8)
+    high[:, :3] = planes[:3].T
+    high = high.view("<u4").ravel()
+    x = np.empty(len(high), np.uint32)
+    x[_order(high)] = planes[3]
+    return x | high << 8
 
 
 class _Block:
