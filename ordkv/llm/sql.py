@@ -20,6 +20,21 @@ SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, least(vec
   vec_id = least(vec_id, coalesce((SELECT min(b) FROM c WHERE c.a = vec_id), vec_id)) AS kept FROM embeddings
 """
 
+# Texts are in hex, two characters a byte. Windows are cut from pieces of 500 starts, as cutting far into a long string is slow.
+_OP5 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+pieces AS (SELECT r, 500 * j AS f, substr(x, 1000 * j + 1, 1398) AS y FROM (SELECT r, x, unnest(range((length(x) // 2 + 300) // 500)) AS j FROM d WHERE length(x) >= 400)),
+starts AS (SELECT r, f + i AS p, md5(substr(y, 2 * i + 1, 400)) AS h FROM (SELECT r, f, y, unnest(range(length(y) // 2 - 199)) AS i FROM pieces WHERE length(y) >= 400)),
+again AS (SELECT r, p FROM starts WHERE h IN (SELECT h FROM starts GROUP BY h HAVING count(*) > 1)),
+marked AS (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 200 THEN 0 ELSE 1 END AS opens FROM again),
+numbered AS (SELECT r, p, sum(opens) OVER (PARTITION BY r ORDER BY p) AS span FROM marked),
+spans AS (SELECT r, min(p) AS a, max(p) + 200 AS b FROM numbered GROUP BY r, span),
+before AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS last FROM spans),
+cut AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept FROM before JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
+
 _OP6 = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, substr(md5(coalesce(doc_id::VARCHAR, '') || ':42'), 1, 15) AS u FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source),
@@ -34,6 +49,18 @@ x AS (SELECT d.doc_id, d.size, f.n, f.target, f.whole, target - whole * n AS res
 SELECT doc_id, size, n AS source_size, target, size * (whole + CASE WHEN 2 * upto - size <= 2 * rest THEN 1 ELSE 0 END)::BIGINT AS taken FROM x
 """
 
+# CRC-32 with the reflected polynomial 0xEDB88320, a byte at a time through its table of 256.
+_OP7 = r"""
+WITH RECURSIVE bits(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS step FROM bits WHERE k = 8),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT doc_id, size, list_transform(regexp_extract_all(x, '..'), lambda y: ('0x' || y)::BIGINT) AS bytes FROM d),
+z AS (SELECT doc_id, size::BIGINT AS size, xor(list_reduce(list_concat([4294967295], bytes), lambda acc, v: xor(acc // 256, step[xor(acc % 256, v) + 1])), 4294967295)::BIGINT AS text_crc32 FROM b, crc),
+o AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM z),
+s AS (SELECT *, ((2 * before + size) * 8 // (2 * total))::INT AS shard FROM o)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, NULL::INT AS grown_shard FROM s
+"""
+
 _OP9 = r"""
 WITH c AS (
   SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i,
@@ -59,4 +86,4 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 A
        CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to FROM q
 """
 
-SQL = {"op2_url_filter": _OP2, "op4_embedding": _OP4, "op6_mixing": _OP6, "op9_chat": _OP9, "op10_warc": _OP10}
+SQL = {"op2_url_filter": _OP2, "op4_embedding": _OP4, "op5_suffix": _OP5, "op6_mixing": _OP6, "op7_sharding": _OP7, "op9_chat": _OP9, "op10_warc": _OP10}
