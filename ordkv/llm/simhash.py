@@ -117,11 +117,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return skew_join(prints, skew_join(named.drop("rep"), least, ["label"]), ["fp"])
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
-    """docs with one row for each group of near-duplicates: its smallest doc_id (nulls last; then by the text's hash)."""
+def keep_least(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row for each label of found (doc_id, text_hash, label): its smallest doc_id (nulls last; then by the text's hash)."""
     scratch = Scratch(docs.sparkSession)
-    found = near_duplicates(docs, doc_id, text, size)
     kept = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("k"))
     kept = scratch.write(kept.select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"), F.lit(True).alias("__kept")), "kept")
     keyed = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__hash": F.xxhash64(F.col(text))})
     return skew_join(keyed, kept, ["__id", "__hash"]).dropDuplicates(["__id", "__hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
+    """docs with one row for each group of near-duplicates: its smallest doc_id (nulls last; then by the text's hash)."""
+    return keep_least(docs, near_duplicates(docs, doc_id, text, size), doc_id, text)
