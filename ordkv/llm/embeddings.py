@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,8 @@ from .common import Scratch, connected_components, skew_join
 
 #: Codes have four segments of 16 bits, one table each.
 BITS, SEGMENT = 64, 16
+#: Up to so many vectors of a length are all compared: codes centred on so few say little.
+FEW = 256
 
 
 @dataclass(frozen=True)
@@ -74,7 +77,8 @@ def links(scratch: Scratch, classes: DataFrame, least: float = 0.95, sample: int
     picked = classes.orderBy(F.xxhash64("cid"), "cid").limit(sample).select("v").collect()
     if len(picked) < 2:
         return classes.sparkSession.createDataFrame([], "a long, b long")
-    model = fit(np.array([r["v"] for r in picked], np.float64))
+    few = len(picked) <= min(FEW, sample - 1)
+    model = None if few else fit(np.array([r["v"] for r in picked], np.float64))
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -88,10 +92,14 @@ def links(scratch: Scratch, classes: DataFrame, least: float = 0.95, sample: int
                 cos = np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
                 yield x.loc[cos >= least, ["a", "b"]]
 
-    codes = scratch.write(classes.mapInPandas(code, "cid long, code long"), "codes")
-    t = _tables(codes).select("k", F.col("cid").alias("other"), F.col("code").alias("code2"))
-    near = _probes(codes).join(t, "k").where(f"cid <> other AND bit_count(code ^ code2) <= {within}")
-    pairs = scratch.write(near.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct(), "candidates")
+    if few:
+        near = classes.select(F.col("cid").alias("a")).crossJoin(classes.select(F.col("cid").alias("b"))).where("a < b")
+    else:
+        codes = scratch.write(classes.mapInPandas(code, "cid long, code long"), "codes")
+        t = _tables(codes).select("k", F.col("cid").alias("other"), F.col("code").alias("code2"))
+        near = _probes(codes).join(t, "k").where(f"cid <> other AND bit_count(code ^ code2) <= {within}")
+        near = near.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
+    pairs = scratch.write(near, "candidates")
     with_a = pairs.join(classes.select(F.col("cid").alias("a"), F.col("v").alias("va")), "a")
     both = with_a.join(classes.select(F.col("cid").alias("b"), F.col("v").alias("vb")), "b")
     return both.select("a", "b", "va", "vb").mapInPandas(rerank, "a long, b long")
@@ -102,15 +110,16 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
 
     Equal vectors form a class and are compared once; n_links counts all other rows linked directly. component_id is
     the smallest vec_id reachable, kept says whether it is the row's own. Vectors that are null, empty, zero or hold null or
-    non-finite numbers, and those of another length than most, link with nothing; a null vec_id is the least long while linking.
+    non-finite numbers, link with nothing, vectors only with those of their own length; a null vec_id is the least long while linking.
     """
     scratch, none = Scratch(vectors.sparkSession), -(2**63)
     rows = vectors.select(F.coalesce(F.col(vec_id).cast("long"), F.lit(none)).alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("ok", usable(F.col("v")))
-    sizes = rows.where("ok").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    rows = rows.withColumn("ok", F.col("ok") & (F.size("v") == (sizes[0]["d"] if sizes else -1)))
     grouped = rows.where("ok").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     classes = scratch.write(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    found = scratch.write(links(scratch, classes.select("cid", "v"), least), "links")
+    lengths = [r["d"] for r in classes.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
+    each = [links(scratch, classes.select("cid", "v").where(F.size("v") == d), least) for d in lengths]
+    none_yet = vectors.sparkSession.createDataFrame([], "a long, b long")
+    found = scratch.write(reduce(DataFrame.unionByName, each, none_yet), "links")
     both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     weighed = skew_join(both, classes.select(F.col("cid").alias("b"), "n"), ["b"]).groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("far"))
     comp = connected_components(scratch, found).withColumnRenamed("node", "cid")

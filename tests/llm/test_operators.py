@@ -191,6 +191,17 @@ def test_embeddings(spark):
     assert not embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect()
 
 
+def test_embeddings_of_any_length(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(64).tolist()) for i in range(20)]
+    rows += [(100, [1.0, 2.0]), (101, [1.0, 2.0]), (102, [1.0, 2.1]), (103, [-1.0, 2.0]), (104, [3.0]), (105, [4.0]), (106, [-3.0])]
+    rows += [(200, [1.0] * 10), (201, [1.0] * 9 + [1.1])]
+    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert [found[i] for i in (100, 101, 102, 103)] == [(2, 100, True), (2, 100, False), (2, 100, False), (0, 103, True)]
+    assert [found[i] for i in (104, 105, 106, 200, 201)] == [(1, 104, True), (1, 104, False), (0, 106, True), (1, 200, True), (1, 200, False)]
+    assert all(found[i] == (0, i, True) for i in range(20))
+
+
 def slow_cut(data, count, width):
     covered = bytearray(len(data))
     for i in range(len(data) - width + 1):
