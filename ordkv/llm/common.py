@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import contextlib
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,10 +33,24 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, Callable[[str], str], Callable[..., DataFrame]]:
+    """docs with columns c0, c1, ..., so that no name can clash; what a name became; and a way back (rows with c0, ... to docs' columns, plus others)."""
+    names = docs.columns
+    short = {c.lower(): f"c{i}" for i, c in reversed(list(enumerate(names)))}
+
+    def back(df: DataFrame, *more: str) -> DataFrame:
+        new = {m.lower() for m in more}
+        return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c.lower() not in new], *more)
+
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]), lambda c: short[c.lower()], back
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a folder made here."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets a folder made here; a cluster's can't."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="ordkv-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -47,10 +62,52 @@ def _remove(spark: SparkSession, path: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class _Writing:
+    """Sets a session's options while any table is written, and puts them back after the last: writers may overlap."""
+
+    lock, writers = threading.Lock(), {}
+
+    def __init__(self, spark: SparkSession):
+        self.conf, self.key = spark.conf, id(spark._jsparkSession)
+
+    def __enter__(self) -> None:
+        with self.lock:
+            n, before = self.writers.get(self.key, (0, None))
+            before = before or {k: self.conf.get(k, None) for k in _WHILE_WRITING}
+            self.writers[self.key] = (n + 1, before)
+            if not n:
+                for k, v in _WHILE_WRITING.items():
+                    self.conf.set(k, v)
+
+    def __exit__(self, *_: object) -> None:
+        with self.lock:
+            n, before = self.writers.pop(self.key)
+            if n > 1:
+                self.writers[self.key] = (n - 1, before)
+                return
+            for k, v in before.items():
+                self.conf.unset(k) if v is None else self.conf.set(k, v)
+
+
+_scopes = threading.local()
+
+
+@contextlib.contextmanager
+def released() -> Iterator[None]:
+    """Deletes, at its end, the tables of all ``Scratch`` made within by this thread: for results that are written elsewhere."""
+    stack = _scopes.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for s in stack.pop():
+            s.clear()
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage: what is written survives the loss of any executor.
 
-    Lazy results read from them, so they stay until ``drop`` or the end of the driver's process.
+    Lazy results read from them, so they stay until ``drop``, the end of a ``released`` block around, or that of the driver's process.
     """
 
     def __init__(self, spark: SparkSession):
@@ -58,6 +115,12 @@ class Scratch:
         self.root = f"{shared_root(spark)}/ordkv-{uuid.uuid4().hex}"
         self._n = 0
         atexit.register(_remove, spark, self.root)
+        if stack := _scopes.__dict__.get("stack"):
+            stack[-1].append(self)
+
+    def clear(self) -> None:
+        """Delete all tables."""
+        _remove(self.spark, self.root)
 
     def path(self, tag: str) -> str:
         self._n += 1
@@ -65,19 +128,17 @@ class Scratch:
 
     def write(self, df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
         """Write as Parquet (in folders by a column's values, if given) and read again; the write's own shuffle files are released when it ends."""
-        path, conf = self.path(tag), self.spark.conf
-        before = {k: conf.get(k, None) for k in _WHILE_WRITING}
-        for k, v in _WHILE_WRITING.items():
-            conf.set(k, v)
-        try:
-            (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
-        finally:
-            for k, v in before.items():
-                conf.unset(k) if v is None else conf.set(k, v)
+        path = self.path(tag)
+        self.write_to(df, path, by)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._ordkv_path = path
         return out
 
+    def write_to(self, df: DataFrame, path: str, by: str | None = None) -> None:
+        """Write to a path of one's own."""
+        with _Writing(self.spark):
+            (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
+
     def drop(self, *frames: DataFrame, within: str = "") -> None:
         """Delete tables that nothing reads any more, or a folder within them."""
         for df in frames:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, skew_join
+from .common import Scratch, connected_components, numbered, skew_join
 
 #: Every eighth bit of a 64-bit word: eight counters in one word.
 _LANES = np.uint64(0x0101010101010101)
@@ -56,7 +56,9 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
             made = np.fromiter((fingerprint(t, size) for t in x["text"]), np.uint64, len(x))
             yield pd.DataFrame({"doc_id": x["doc_id"], "text_hash": x["text_hash"], "fp": made.view(np.int64)})
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
+    plain, name, _ = numbered(docs)
+    given = F.col(name(text))
+    rows = plain.select(F.col(name(doc_id)).cast("long").alias("doc_id"), F.xxhash64(given).alias("text_hash"), given.alias("text"))
     return rows.mapInPandas(run, "doc_id long, text_hash long, fp long")
 
 
@@ -105,7 +107,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     label is a value shared by a component's rows; component_id its smallest doc_id, null only where none
     of its rows has one. Rows with equal fingerprints, repeated rows and empty texts (fingerprint 0) link like
-    any others. Null text is the empty text. Other columns are not read.
+    any others. Null text is the empty text; an empty table gives none. A text is hashed in one row, some tens of
+    bytes a word. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession)
     prints = scratch.write(fingerprints(docs, doc_id, text, size), "fingerprints")
@@ -122,8 +125,9 @@ def keep_least(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text:
     scratch = Scratch(docs.sparkSession)
     kept = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("k"))
     kept = scratch.write(kept.select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"), F.lit(True).alias("__kept")), "kept")
-    keyed = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__hash": F.xxhash64(F.col(text))})
-    return skew_join(keyed, kept, ["__id", "__hash"]).dropDuplicates(["__id", "__hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain, name, back = numbered(docs)
+    keyed = plain.withColumns({"__id": F.col(name(doc_id)).cast("long"), "__hash": F.xxhash64(F.col(name(text)))})
+    return back(skew_join(keyed, kept, ["__id", "__hash"]).dropDuplicates(["__id", "__hash"]))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
