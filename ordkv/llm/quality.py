@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, words
+from .common import Scratch, numbered, words
 
 #: Votes.
 GOOD, NONE, BAD = 1, 0, -1
@@ -29,10 +29,14 @@ END"""
 
 
 def signals(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """docs with the columns BASE and MORE (long), each name after ``prefix``; null text counts as empty."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    """docs with the columns BASE and MORE (long), each name after ``prefix``, in place of columns of that name; null text counts as empty.
+
+    A text is measured in one row, however long; its words take some times its size in memory.
+    """
+    plain, name, back = numbered(docs)
+    t = F.coalesce(F.col(name(text)), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    made = docs.withColumns({"__w": words(F.col(text)), "__l": lines}).withColumn("__h", F.expr(_HASHES))
+    made = plain.withColumns({"__w": words(F.col(name(text))), "__l": lines}).withColumn("__h", F.expr(_HASHES))
     count = lambda pattern: F.regexp_count(t, F.lit(pattern))
     only = lambda pattern: F.char_length(F.regexp_replace(t, f"[^{pattern}]+", ""))
     cols = {
@@ -48,7 +52,7 @@ def signals(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
         "n_stops": count(r"[.?!;:](?=[\x20\x09-\x0D]|$)"),
         "n_distinct": F.size(F.array_distinct("__w")),
     }
-    return made.withColumns({prefix + k: v.cast("long") for k, v in cols.items()}).drop("__w", "__l", "__h")
+    return back(made.withColumns({prefix + k: v.cast("long") for k, v in cols.items()}), *[prefix + k for k in cols])
 
 
 def rules(prefix: str = "") -> dict[str, Column]:
@@ -72,28 +76,57 @@ def rules(prefix: str = "") -> dict[str, Column]:
     }
 
 
+def _pooled(low: tuple[float, float], high: tuple[float, float]) -> tuple[float, float]:
+    """The likeliest rates of two binomials (yes, all) of which the first is at most the second: their own, or the common one."""
+    a, b = low[0] / low[1], high[0] / high[1]
+    both = (low[0] + high[0]) / (low[1] + high[1])
+    return (a, b) if a <= b else (both, both)
+
+
 class LabelModel:
-    """P(good), and for each rule P(vote | good) and P(vote | junk), for votes in the order -1, 0, 1."""
+    """P(good), and for each rule P(vote | good) and P(vote | junk), for votes in the order -1, 0, 1.
 
-    def __init__(self, n_rules: int):
-        self.prior = 0.85
+    Rules are taken to vote independently within a class. Priors: ``strength`` of the rows count as if they followed
+    the starting values (at least one row), whatever the number of rows. A rule may be of no use, but never speaks
+    for the other side: junk is voted BAD at least as often as good, and GOOD at most as often among the other votes.
+    """
+
+    def __init__(self, n_rules: int, strength: float = 0.02):
+        self.strength = strength
+        self.prior = 0.7
         self.good = [[0.02, 0.58, 0.40] for _ in range(n_rules)]
         self.junk = [[0.30, 0.55, 0.15] for _ in range(n_rules)]
 
     def weights(self) -> list[list[float]]:
-        """For each rule what its votes -1, 0, 1 add to the log odds of quality. No abstention weighs more than 3, whatever the counts."""
-        w = [[math.log(a / b) for a, b in zip(g, j, strict=True)] for g, j in zip(self.good, self.junk, strict=True)]
-        return [[x[0], max(-3.0, min(3.0, x[1])), x[2]] for x in w]
+        """For each rule what its votes -1, 0, 1 add to the log odds of quality."""
+        return [[math.log(a / b) for a, b in zip(g, j, strict=True)] for g, j in zip(self.good, self.junk, strict=True)]
 
     def log_odds(self, votes: tuple[int, ...]) -> float:
         return math.log(self.prior / (1 - self.prior)) + sum(w[v + 1] for w, v in zip(self.weights(), votes, strict=True))
 
-    def step(self, patterns: dict[tuple[int, ...], int], weight: float = 20.0) -> float:
-        """One round over counted vote patterns, with ``weight`` pseudo-counts of the starting values; returns the largest change."""
-        start = LabelModel(len(self.good))
-        good = [[weight * x for x in r] for r in start.good]
-        junk = [[weight * x for x in r] for r in start.junk]
-        total, kept = 0.0, 0.0
+    def _pseudo(self, total: float) -> tuple[float, LabelModel]:
+        return max(1.0, self.strength * total), LabelModel(len(self.good), self.strength)
+
+    def score(self, patterns: dict[tuple[int, ...], int]) -> float:
+        """The log likelihood of the votes and of the priors' rows, which no round of ``step`` lowers."""
+        weight, start = self._pseudo(sum(patterns.values()))
+        out = 0.0
+        for votes in sorted(patterns):
+            g, j = math.log(self.prior), math.log(1 - self.prior)
+            for x, y, v in zip(self.good, self.junk, votes, strict=True):
+                g, j = g + math.log(x[v + 1]), j + math.log(y[v + 1])
+            out += patterns[votes] * (max(g, j) + math.log1p(math.exp(-abs(g - j))))
+        out += weight * (start.prior * math.log(self.prior) + (1 - start.prior) * math.log(1 - self.prior))
+        for mine, first, share in ((self.good, start.good, start.prior), (self.junk, start.junk, 1 - start.prior)):
+            out += weight * share * sum(a * math.log(b) for r, q in zip(first, mine, strict=True) for a, b in zip(r, q, strict=True))
+        return out
+
+    def step(self, patterns: dict[tuple[int, ...], int]) -> float:
+        """One round over counted vote patterns: expected classes, then the likeliest parameters under priors and order; returns the largest change."""
+        weight, start = self._pseudo(sum(patterns.values()))
+        good = [[weight * start.prior * x for x in r] for r in start.good]
+        junk = [[weight * (1 - start.prior) * x for x in r] for r in start.junk]
+        total, kept = weight, weight * start.prior
         for votes in sorted(patterns):
             n = patterns[votes]
             p = 1 / (1 + math.exp(-max(-500.0, min(500.0, self.log_odds(votes)))))
@@ -102,17 +135,16 @@ class LabelModel:
                 good[j][v + 1] += n * p
                 junk[j][v + 1] += n * (1 - p)
         last = [self.prior, *(x for r in (*self.good, *self.junk) for x in r)]
-        self.prior = min(0.98, max(0.5, (kept + weight * start.prior) / (total + weight)))
-        self.good = [[x / sum(r) for x in r] for r in good]
-        self.junk = [[x / sum(r) for x in r] for r in junk]
-        for g, k in zip(self.good, self.junk, strict=True):  # a rule's vote for a side may be of no use, but never speaks for the other side
-            if k[0] < 3 * g[0]:
-                k[0] = min(0.9, 3 * g[0])
-            if g[2] < k[2]:
-                k[2] = g[2]
+        self.prior = kept / total
+        # A vote is BAD or not, and if not, GOOD or not: two binomials, each with its order.
+        for i, (g, k) in enumerate(zip(good, junk, strict=True)):
+            bad = _pooled((g[0], sum(g)), (k[0], sum(k)))
+            yes = _pooled((k[2], k[1] + k[2]), (g[2], g[1] + g[2]))
+            self.good[i] = [bad[0], (1 - bad[0]) * (1 - yes[1]), (1 - bad[0]) * yes[1]]
+            self.junk[i] = [bad[1], (1 - bad[1]) * (1 - yes[0]), (1 - bad[1]) * yes[0]]
         return max(abs(a - b) for a, b in zip(last, [self.prior, *(x for r in (*self.good, *self.junk) for x in r)], strict=True))
 
-    def fit(self, patterns: dict[tuple[int, ...], int], rounds: int = 200, least: float = 1e-7) -> LabelModel:
+    def fit(self, patterns: dict[tuple[int, ...], int], rounds: int = 1000, least: float = 1e-8) -> LabelModel:
         for _ in range(rounds if patterns else 0):
             if self.step(patterns) < least:
                 break
@@ -155,5 +187,6 @@ def judge(docs: DataFrame, text: str = "text", prefix: str = "", least: float =
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs that ``judge`` keeps."""
-    return judge(docs, text, "__q_").where("__q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that ``judge`` keeps, whatever its columns are called."""
+    plain, name, back = numbered(docs)
+    return back(judge(plain, name(text), "q_").where("q_kept"))
