@@ -36,7 +36,7 @@ FROM d LEFT JOIN cut USING (r)
 """
 
 _OP6 = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, substr(md5(coalesce(doc_id::VARCHAR, '') || ':42'), 1, 15) AS u FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, substr(md5(coalesce(doc_id::VARCHAR, '') || ':42:' || md5(coalesce(text, ''))), 1, 15) AS u, row_number() OVER () AS r FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source),
 w AS (SELECT source, n, 3 * n AS cap, 1 + ((row_number() OVER (ORDER BY source IS NULL, source)) - 1) % 3 AS w FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY cap / w, source IS NULL, source) AS k FROM w),
@@ -45,7 +45,7 @@ c AS (SELECT k, cap, w, coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDE
 l AS (SELECT ((SELECT sum(n) FROM s)::BIGINT - caps)::DOUBLE / ws AS level FROM c WHERE cap >= w * (((SELECT sum(n) FROM s)::BIGINT - caps)::DOUBLE / ws) ORDER BY k LIMIT 1),
 t AS (SELECT source, n, CASE WHEN cap < w * level THEN cap::DOUBLE ELSE w * level END AS target FROM w, l),
 f AS (SELECT source, n, target, CASE WHEN n > 0 THEN floor(target / n)::BIGINT ELSE 0 END AS whole FROM t),
-x AS (SELECT d.doc_id, d.size, f.n, f.target, f.whole, target - whole * n AS rest, sum(d.size) OVER (PARTITION BY d.source ORDER BY u) AS upto FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source)
+x AS (SELECT d.doc_id, d.size, f.n, f.target, f.whole, target - whole * n AS rest, sum(d.size) OVER (PARTITION BY d.source ORDER BY u, r) AS upto FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source)
 SELECT doc_id, size, n AS source_size, target, size * (whole + CASE WHEN 2 * upto - size <= 2 * rest THEN 1 ELSE 0 END)::BIGINT AS taken FROM x
 """
 
@@ -81,9 +81,10 @@ FROM n
 
 _OP10 = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
-q AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha1(h) AS payload_digest, max(page_id) OVER (PARTITION BY h) AS last FROM p)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to FROM q
+q AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha1(h) AS payload_digest, row_number() OVER w AS i, first_value(page_id) OVER w AS last
+      FROM p WINDOW w AS (PARTITION BY h ORDER BY page_id DESC NULLS LAST))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND i > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND i > 1 THEN last END AS refers_to FROM q
 """
 
 SQL = {"op2_url_filter": _OP2, "op4_embedding": _OP4, "op5_suffix": _OP5, "op6_mixing": _OP6, "op7_sharding": _OP7, "op9_chat": _OP9, "op10_warc": _OP10}
