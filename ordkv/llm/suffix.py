@@ -14,8 +14,11 @@ and refinement up to ``width / 2`` needs no exchange. Only what has to be compar
 3. In a bucket that step 2 splits, the windows of each row that repeats only in part, and of one row of each
    kind that repeats as a whole, are refined one by one to depth ``width`` and sorted again.
 
-Texts aren't compared again byte by byte: strings that differ within the sampled ``width / 2`` bytes are taken
-for equal only if two identifiers collide (128 bits), others if one does (64 bits).
+Identifiers may collide, so a row also carries a checksum of the very bytes that its run of windows covers, made
+apart from the identifiers: rows are equal if bucket, refined identifier and checksum are (192 bits).
+
+A text is worked through in parts of ``_PART`` windows, so that its length doesn't matter to memory beyond the text
+itself. Runs are cut where parts meet, which step 3 sees through.
 """
 
 from __future__ import annotations
@@ -29,12 +32,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, repeated_rows, skew_join
+from .common import Scratch, numbered, repeated_rows, skew_join
 
 #: Bytes of an initial bucket at most: what a word holds.
 _Q = 8
 _ODD = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15))
 _HALF_WORD, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
+#: Windows of a text that are worked on at once.
+_PART = 1 << 20
+#: Up to so many documents' keys are broadcast, to shuffle only those documents.
+BROADCAST = 1_000_000
 
 
 def _refined(own: np.ndarray, later: np.ndarray) -> np.ndarray:
@@ -49,11 +56,30 @@ def _refined(own: np.ndarray, later: np.ndarray) -> np.ndarray:
     return x
 
 
+class _Sums:
+    """Checksums of a text's substrings: sums of a random number for each byte's value times the powers of an odd number, as 64-bit words."""
+
+    value = np.random.default_rng(7).integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+    base = np.uint64(0xDA942042E4DD58B5)
+    powers = inverses = np.ones(1, np.uint64)
+
+    def __init__(self, data: bytes):
+        n = len(data) + 1
+        if n > len(self.powers):
+            size, undo = 1 << (n - 1).bit_length(), np.uint64(pow(int(self.base), -1, 1 << 64))
+            _Sums.powers, _Sums.inverses = (np.multiply.accumulate(np.append(np.ones(1, np.uint64), np.full(size - 1, x, np.uint64))) for x in (self.base, undo))
+        self.upto = np.zeros(n, np.uint64)
+        np.cumsum(self.value[np.frombuffer(data, np.uint8)] * self.powers[: n - 1], out=self.upto[1:])
+
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return (self.upto[stop] - self.upto[start]) * self.inverses[start] + (stop - start).astype(np.uint64)
+
+
 class _Buckets:
-    """Bucket identifiers of one text's suffixes at depth ``width / 2``, and refinements of some of them."""
+    """Bucket identifiers of the suffixes of a part of a text at depth ``width / 2``, and refinements of some of them."""
 
     def __init__(self, data: bytes, width: int):
-        self.depth = width // 2
+        self.depth, self.sums = width // 2, _Sums(data)
         at = min(_Q, self.depth)
         first = np.zeros((len(data) - at + 1, _Q), np.uint8)
         first[:, :at] = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), at)
@@ -85,16 +111,15 @@ def _leads(ids: np.ndarray, w: int) -> np.ndarray:
     return (np.minimum(back[:m], ahead[w - 1 : w - 1 + m]) & _LOW).astype(np.int64)
 
 
-def _runs(data: bytes, width: int) -> tuple[_Buckets, np.ndarray, np.ndarray, np.ndarray] | None:
-    """Buckets, and for each sampled suffix its bucket's identifier and the first and last window it leads."""
-    if len(data) < width:
-        return None
-    buckets = _Buckets(data, width)
-    lead = _leads(buckets.ids, width - buckets.depth + 1)
-    cut = np.flatnonzero(np.diff(lead)) + 1
-    first = np.concatenate(([0], cut))
-    last = np.concatenate((cut, [len(lead)])) - 1
-    return buckets, buckets.ids[lead[first]], first, last
+def _runs(data: bytes, width: int) -> Iterator[tuple[int, _Buckets, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each part: where it starts, its buckets, and for each sampled suffix its bucket's identifier and the first and last window it leads."""
+    for at in range(0, len(data) - width + 1, _PART):
+        buckets = _Buckets(data[at : at + _PART + width - 1], width)
+        lead = _leads(buckets.ids, width - buckets.depth + 1)
+        cut = np.flatnonzero(np.diff(lead)) + 1
+        first = np.concatenate(([0], cut))
+        last = np.concatenate((cut, [len(lead)])) - 1
+        yield at, buckets, buckets.ids[lead[first]], first, last
 
 
 def _long(x: np.ndarray) -> np.ndarray:
@@ -105,28 +130,28 @@ def _long(x: np.ndarray) -> np.ndarray:
 _SHIFT = 20
 #: A sampled suffix's run of windows repeats in part at most; as a whole; as a whole, and stands for its kind in step 3.
 _SPLIT, _WHOLE, _SHOWN = 0, 1, 2
-#: Rows gathered before they are passed on; a document's own come together.
+#: Rows gathered before they are passed on.
 _HELD = 200_000
+_ROW = ["doc", "mark", "h", "g", "e", "place"]
+_KINDS = ", ".join(f"{c} long" for c in _ROW)
 
 
 def _suffixes(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
     for x in batches:
         parts, held = [], 0
         for doc, mark, t in zip(x["doc"], x["mark"], x["t"], strict=True):
-            if (found := _runs(_utf8(t), width)) is None:
-                continue
-            buckets, bucket, first, last = found
-            parts.append((np.full(len(first), doc), np.full(len(first), mark), _long(bucket), _long(buckets.runs(first, last)), first << _SHIFT | (last - first)))
-            held += len(first)
-            if held > _HELD:
-                yield _frame(parts, ["doc", "mark", "h", "g", "place"])
-                parts, held = [], 0
+            for at, buckets, bucket, first, last in _runs(_utf8(t), width):
+                parts.append((np.full(len(first), doc), np.full(len(first), mark), _long(bucket), _long(buckets.runs(first, last)), _long(buckets.sums.of(first, last + width)), at + first << _SHIFT | (last - first)))
+                held += len(first)
+                if held > _HELD:
+                    yield _frame(parts)
+                    parts, held = [], 0
         if parts:
-            yield _frame(parts, ["doc", "mark", "h", "g", "place"])
+            yield _frame(parts)
 
 
-def _frame(parts: list, columns: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+def _frame(parts: list) -> pd.DataFrame:
+    return pd.DataFrame(dict(zip(_ROW, map(np.concatenate, zip(*parts, strict=True)), strict=True)))
 
 
 def _utf8(text: str | None) -> bytes:
@@ -135,7 +160,8 @@ def _utf8(text: str | None) -> bytes:
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc, mark, t): an id without nulls, a hash of the text (together they name a row), the text."""
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("t"))
+    plain, name, _ = numbered(docs)
+    return plain.select(F.coalesce(F.col(name(doc_id)).cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(F.col(name(text))).alias("mark"), F.col(name(text)).alias("t"))
 
 
 def _pack(rows: DataFrame) -> DataFrame:
@@ -158,20 +184,21 @@ def _split_windows(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.D
     for x in batches:
         parts, held = [], 0
         for doc, mark, z, places in zip(x["doc"], x["mark"], x["z"], x["shared"], strict=True):
-            buckets, bucket, first, last = _runs(_unpack(z), width)
             shared: dict[int, int] = {}
             for p in places:
                 shared[int(p) >> 2] = max(shared.get(int(p) >> 2, 0), int(p) & 3)
-            state = np.fromiter((shared.get(f, -1) for f in first.tolist()), np.int64, len(first))
-            for i in np.flatnonzero((state == _SPLIT) | (state == _SHOWN)).tolist():
-                s = np.arange(first[i], last[i] + 1)
-                parts.append((np.full(len(s), doc), np.full(len(s), mark), np.full(len(s), _long(bucket[i : i + 1])[0]), _long(buckets.windows(s)), s << _SHIFT))
-                held += len(s)
-            if held > _HELD:
-                yield _frame(parts, ["doc", "mark", "h", "g", "place"])
-                parts, held = [], 0
+            for at, buckets, bucket, first, last in _runs(_unpack(z), width):
+                state = np.fromiter((shared.get(f, -1) for f in (at + first).tolist()), np.int64, len(first))
+                for i in np.flatnonzero((state == _SPLIT) | (state == _SHOWN)).tolist():
+                    s = np.arange(first[i], last[i] + 1)
+                    h = np.full(len(s), _long(bucket[i : i + 1])[0])
+                    parts.append((np.full(len(s), doc), np.full(len(s), mark), h, _long(buckets.windows(s)), _long(buckets.sums.of(s, s + width)), at + s << _SHIFT))
+                    held += len(s)
+                    if held > _HELD:
+                        yield _frame(parts)
+                        parts, held = [], 0
         if parts:
-            yield _frame(parts, ["doc", "mark", "h", "g", "place"])
+            yield _frame(parts)
 
 
 def _spans(places: np.ndarray | None, width: int) -> list[tuple[int, int]]:
@@ -186,36 +213,48 @@ def _spans(places: np.ndarray | None, width: int) -> list[tuple[int, int]]:
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 200) -> DataFrame:
-    """(doc, mark, z, places): each row's bytes, compressed, and the places of all its repeated windows of ``width`` bytes.
+    """(doc, mark, places), a row for each document with repeated windows of ``width`` bytes: their places.
 
     A null or short text has none. Rows repeated with the same id and text count as different documents;
     a null id is the least long. ``width`` is even, and under 2**20.
     """
     scratch = Scratch(docs.sparkSession)
     rows = _rows(docs, doc_id, text)
-    packed = _pack(rows)
-    sampled = rows.mapInPandas(lambda it: _suffixes(it, width), "doc long, mark long, h long, g long, place long")
+    sampled = rows.mapInPandas(lambda it: _suffixes(it, width), _KINDS)
     sampled = scratch.write(sampled, "sampled")  # a range shuffle reads its input twice
-    shared = repeated_rows(scratch, sampled, [["h"], ["h", "g"]], ["doc", "mark", "place"], "suffixes")
+    shared = repeated_rows(scratch, sampled, [["h"], ["h", "g", "e"]], ["doc", "mark", "place"], "suffixes")
     scratch.drop(sampled)
     whole = shared.where("dup1").select("doc", "mark", "place")
     split = shared.where("NOT dup1").select("h").distinct()
-    kinds = shared.where("dup1").groupBy("h", "g").agg(F.min(F.struct("doc", "mark", "place")).alias("r"))
+    kinds = shared.where("dup1").groupBy("h", "g", "e").agg(F.min(F.struct("doc", "mark", "place")).alias("r"))
     shown = skew_join(kinds, split, ["h"], "left_semi").select("r.*", F.lit(_SHOWN).alias("state"))
     states = shared.select("doc", "mark", "place", F.col("dup1").cast("int").alias("state")).unionByName(shown)
     state = states.groupBy("doc", "mark").agg(
         F.collect_set(F.shiftright("place", _SHIFT) * 4 + F.col("state")).alias("shared"), F.bool_and(F.col("state") == _WHOLE).alias("all")
     )
-    open_docs = skew_join(packed, state.where("NOT all").drop("all"), ["doc", "mark"])
-    windows = scratch.write(open_docs.mapInPandas(lambda it: _split_windows(it, width), "doc long, mark long, h long, g long, place long"), "windows")
-    single = repeated_rows(scratch, windows, [["h", "g"]], ["doc", "mark", "place"], "single").select("doc", "mark", "place")
+    state = scratch.write(state.where("NOT all").drop("all"), "open")
+    windows = scratch.write(_with_text(rows, state).mapInPandas(lambda it: _split_windows(it, width), _KINDS), "windows")
+    single = repeated_rows(scratch, windows, [["h", "g", "e"]], ["doc", "mark", "place"], "single").select("doc", "mark", "place")
     places = scratch.write(whole.unionByName(single).groupBy("doc", "mark").agg(F.collect_set("place").alias("places")), "places")
     scratch.drop(windows)
-    return skew_join(packed, places, ["doc", "mark"], "left")
+    return places
+
+
+def _with_text(rows: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
+    """found (doc, mark, ...) with the rows' compressed bytes z; few enough keys are broadcast, so that only those texts are shuffled."""
+    keys = found.select("doc", "mark")
+    if how == "inner" and keys.count() <= BROADCAST:
+        rows = rows.join(F.broadcast(keys), ["doc", "mark"], "left_semi")
+    return skew_join(_pack(rows), found, ["doc", "mark"], how)
 
 
 def removal_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 200) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), a row for each row of docs; see ``repeats``. Only id and text are read."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), a row for each row of docs; see ``repeats``. Only id and text are read.
+
+    An empty table gives none.
+    """
+    scratch, rows = Scratch(docs.sparkSession), _rows(docs, doc_id, text)
+    places = repeats(docs, doc_id, text, width)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -225,8 +264,15 @@ def removal_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 rows.append((doc, len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(_kept(data, spans)).hexdigest()))
             yield pd.DataFrame(rows, columns=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    done = repeats(docs, doc_id, text, width).drop("mark").mapInPandas(run, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    done = Scratch(docs.sparkSession).write(done, "report")
+    kinds = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    if places.count() <= BROADCAST:
+        binary = F.coalesce("t", F.lit("")).cast("binary")
+        whole = rows.join(F.broadcast(places.select("doc", "mark")), ["doc", "mark"], "left_anti")
+        whole = whole.select("doc", F.octet_length(binary).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(binary, 256).alias("kept_sha256"))
+        done = whole.unionByName(_with_text(rows, places).drop("mark").mapInPandas(run, kinds))
+    else:
+        done = _with_text(rows, places, "left").drop("mark").mapInPandas(run, kinds)
+    done = scratch.write(done, "report")
     return done.withColumn("doc", F.nullif("doc", F.lit(-(2**63)))).withColumnRenamed("doc", "doc_id")
 
 
@@ -239,15 +285,16 @@ def _kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 200) -> DataFrame:
-    """docs with repeated strings cut from the text; a character cut in two goes whole. Texts without repeats stay as they are (null too)."""
-    scratch = Scratch(docs.sparkSession)
+    """docs with repeated strings cut from the text; a character cut in two goes whole. Texts without repeats stay as they are (null too), and so do other columns."""
+    scratch, rows = Scratch(docs.sparkSession), _rows(docs, doc_id, text)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             yield pd.DataFrame({"doc": x["doc"], "mark": x["mark"], "cut": [_kept(_unpack(z), _spans(p, width)).decode("utf-8", "ignore") for z, p in zip(x["z"], x["places"], strict=True)]})
 
-    found = repeats(docs, doc_id, text, width).where("places IS NOT NULL").dropDuplicates(["doc", "mark"])
-    cut = scratch.write(found.mapInPandas(run, "doc long, mark long, cut string"), "cut").withColumnsRenamed({"doc": "__doc", "mark": "__mark", "cut": "__cut"})
-    keyed = docs.withColumns({"__doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))), "__mark": F.xxhash64(F.col(text))})
-    joined = skew_join(keyed, cut, ["__doc", "__mark"], "left").withColumn("__text", F.coalesce("__cut", F.col(text)))
-    return joined.select(*[F.col("__text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    # Equal rows are joined with their places each; the text is cut once.
+    found = _with_text(rows, repeats(docs, doc_id, text, width)).dropDuplicates(["doc", "mark"])
+    cut = scratch.write(found.mapInPandas(run, "doc long, mark long, cut string"), "cut")
+    plain, name, back = numbered(docs)
+    keyed = plain.withColumns({"doc": F.coalesce(F.col(name(doc_id)).cast("long"), F.lit(-(2**63))), "mark": F.xxhash64(F.col(name(text)))})
+    return back(skew_join(keyed, cut, ["doc", "mark"], "left").withColumn(name(text), F.coalesce("cut", name(text))))
