@@ -17,10 +17,15 @@ def page(pairs: DataFrame, limit: int) -> tuple[list[Row], bool]:
 
 
 def pages(scan: Callable[[Range], DataFrame], over: Range, limit: int) -> Iterator[list[Row]]:
+    """All pages of a range of any pairs; see ``each_page``."""
+    return each_page(lambda r, n: page(scan(r), n), over, limit)
+
+
+def each_page(page_of: Callable[[Range, int], tuple[list[Row], bool]], over: Range, limit: int) -> Iterator[list[Row]]:
     """All pages of a range; each starts above the last key of the one before, and sees the state of its time."""
     more = True
     while more:
-        rows, more = page(scan(over), limit)
+        rows, more = page_of(over, limit)
         if rows:
             yield rows
             over = replace(over, low=bytes(rows[-1]["key"]) if not isinstance(rows[-1]["key"], str) else rows[-1]["key"], low_open=True)

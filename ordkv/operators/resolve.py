@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import DELETE, PUT
+from ..schema import DELETE, OVERHEAD, PUT
 
 
 def latest(entries: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -50,11 +50,16 @@ def shadowed(entries: DataFrame) -> DataFrame:
     return entries.groupBy("key").agg(F.count("*").alias("versions"), (F.count("*") - 1).alias("shadowed"))
 
 
-def multi_get(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, value) of each wanted key, null where it isn't live; Spark broadcasts the wanted keys only if they are few."""
-    return wanted.select("key").distinct().join(pairs, "key", "left")
+def multi_get(entries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, value) of each wanted key, null where it isn't live.
+
+    Entries of other keys go before resolution, by a semi-join for which Spark broadcasts the wanted keys if they are
+    few: then only their versions are shuffled.
+    """
+    wanted = wanted.select("key").distinct()
+    return wanted.join(live(latest(entries.join(wanted, "key", "left_semi"))), "key", "left")
 
 
-def memtable_bytes(entries: DataFrame, overhead: int = 24) -> DataFrame:
+def memtable_bytes(entries: DataFrame, overhead: int = OVERHEAD) -> DataFrame:
     """The size that a write buffer would charge for the entries: key, newest value and a constant for each key."""
     return latest(entries).agg(F.coalesce(F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)) + overhead), F.lit(0)).cast("long").alias("bytes"))

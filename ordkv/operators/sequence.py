@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def number(sorted_parts: DataFrame, order: str, first: int, name: str = "seqno") -> DataFrame:
+def number(sorted_parts: DataFrame, order: str | list[str], first: int, name: str = "seqno") -> DataFrame:
     """Rows with ``name`` from ``first`` on in the order of ``order``, which must be unique.
 
     ``sorted_parts`` has a column __pid: the number of the range, ascending with the order, that each row fell

@@ -10,7 +10,9 @@ from .errors import InvalidError
 @dataclass(frozen=True)
 class Options:
     memtable_bytes: int = 4 << 20
-    block_bytes: int = 4 << 10
+    #: Size of a Parquet page, the least that is read of a run; and of the blocks of foreign run files.
+    block_bytes: int = 64 << 10
+    #: Sets the share of false positives of each file's filter over its keys; 0 writes none.
     bloom_bits_per_key: int = 10
     l0_trigger: int = 4
     level_multiplier: int = 10
@@ -23,6 +25,8 @@ class Options:
     max_record_bytes: int = 64 << 20
     #: Catalog versions whose runs vacuum keeps.
     keep_versions: int = 10
+    #: About how much a compacted file holds: many buffers, so that neither files nor steps are as many as flushes.
+    target_file_bytes: int = 128 << 20
 
     def __post_init__(self):
         for f in fields(self):
@@ -30,11 +34,6 @@ class Options:
             if f.name != "sync" and (not isinstance(v, int) or v < (0 if f.name == "bloom_bits_per_key" else 2 if f.name == "level_multiplier" else 1)):
                 raise InvalidError(f"{f.name} = {v!r}")
 
-    @property
-    def target_file_bytes(self) -> int:
-        """About how much a compacted file holds."""
-        return max(self.memtable_bytes, 4 * self.block_bytes)
-
     def level_budget(self, level: int) -> int:
         """Bytes that a level from 1 down may hold."""
         return self.memtable_bytes * self.l0_trigger * self.level_multiplier ** (level - 1)

@@ -23,13 +23,29 @@ def _entries(found: list[codecs.Entry], path: str) -> pd.DataFrame:
 
 def read_logs(spark: SparkSession, path: str, pattern: str = "*.log") -> DataFrame:
     """The entries of the valid prefix of each write-ahead log under a path."""
+    return replay(_files(spark, path, pattern))
+
+
+def replay(logs: DataFrame) -> DataFrame:
+    """The entries of the valid prefix of each log of (path, content): none behind its first torn or damaged record."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             for at, data in zip(x["path"], x["content"], strict=True):
                 yield _entries(codecs.read_log(bytes(data))[0], at)
 
-    return _files(spark, path, pattern).mapInPandas(run, ENTRY)
+    return logs.select("path", "content").mapInPandas(run, ENTRY)
+
+
+def log_files(entries: DataFrame, by: str) -> DataFrame:
+    """(path, content): the entries as one write-ahead log for each value of ``by``, in order of seqno. A log is held in one row."""
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("seqno")
+        frames = [codecs.log_frame(codecs.Entry(bytes(k), int(n), int(kind), bytes(v))) for k, n, kind, v in zip(x["key"], x["seqno"], x["kind"], x["value"], strict=True)]
+        return pd.DataFrame([(f"{x[by].iloc[0]}.log", b"".join(frames), [len(f) for f in frames])], columns=["path", "content", "sizes"])
+
+    return entries.select(by, "key", "seqno", "kind", "value").groupBy(by).applyInPandas(run, "path string, content binary, sizes array<int>")
 
 
 def read_runs(spark: SparkSession, path: str, pattern: str = "*.sst") -> DataFrame:

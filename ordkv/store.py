@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
 from collections.abc import Iterable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import CorruptionError, InvalidError, StoreError
@@ -18,11 +19,10 @@ from .operators import resolve
 from .operators.sequence import number
 from .options import Options
 from .plans.catalog import Catalog, Run
+from .operators.paging import page
 from .plans.compaction import Step, pick
-from .schema import DELETE, ENTRY, MAX_SEQNO, PUT
+from .schema import DELETE, ENTRY, MAX_SEQNO, OVERHEAD, PUT
 
-#: What the write buffer charges for a key besides its bytes.
-OVERHEAD = 24
 #: What an entry counts in a run besides its bytes. Runs are measured by content, as Parquet's own overhead would dwarf small ones.
 ENTRY_OVERHEAD = 16
 
@@ -38,6 +38,7 @@ class Store:
     def __init__(self, spark: SparkSession, path: str, options: Options | None = None):
         self.spark, self.options = spark, options or Options()
         self.files = Files(spark, path)
+        self._frames: dict[tuple[str, ...], DataFrame] = {}
         for d in ("", "catalog", "runs", "log"):
             self.files.mkdirs(d)
         self._lock = f"{uuid.uuid4().hex} {os.getpid()}".encode()
@@ -101,15 +102,19 @@ class Store:
             self.compact()
 
     def write_batch(self, ops: DataFrame) -> None:
-        """Apply a DataFrame of (ord, kind, key, value) as one run; the last operation of a key by ord wins.
+        """Apply a DataFrame of (ord, kind, key, value) as one run; the last operation of a key by ord wins. ord must be unique."""
+        self.write_batches(ops.withColumn("batch", F.lit(0)))
 
-        ord must be unique. Sequence numbers come from a range shuffle by ord and the ranges' sizes.
+    def write_batches(self, ops: DataFrame) -> None:
+        """Apply a DataFrame of (batch, ord, kind, key, value): a run for each batch, in ascending order, all at once.
+
+        (batch, ord) must be unique. Sequence numbers come from a range shuffle in that order and the ranges' sizes.
         """
         self.flush()
         scratch = f"runs/batch-{uuid.uuid4().hex}"
         try:
             n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
-            ops.select("ord", "kind", "key", "value").repartitionByRange(n, "ord").withColumn("__pid", F.spark_partition_id()).write.parquet(self.files.full(scratch))
+            ops.select("batch", "ord", "kind", "key", "value").repartitionByRange(n, "batch", "ord").withColumn("__pid", F.spark_partition_id()).write.parquet(self.files.full(scratch))
             parts = self.spark.read.parquet(self.files.full(scratch))
             wrong, count = parts.agg(F.count(F.when(F.col("kind").isNull() | ~F.col("kind").isin(PUT, DELETE) | F.col("key").isNull(), 1)), F.count("*")).first()
             if wrong:
@@ -118,8 +123,8 @@ class Store:
                 return
             if self.next_seqno + count - 1 > MAX_SEQNO:
                 raise InvalidError("sequence numbers are used up")
-            entries = number(parts, "ord", self.next_seqno).select("key", "seqno", F.col("kind").cast("byte").alias("kind"), F.when(F.col("kind") == PUT, F.coalesce("value", F.lit(b""))).otherwise(F.lit(b"")).alias("value"))
-            runs = self._write(resolve.latest(entries), 0, None)
+            entries = number(parts, ["batch", "ord"], self.next_seqno).select("batch", "key", "seqno", F.col("kind").cast("byte").alias("kind"), F.when(F.col("kind") == PUT, F.coalesce("value", F.lit(b""))).otherwise(F.lit(b"")).alias("value"))
+            runs = self._write(resolve.latest(entries, ["batch", "key"]), 0, None, count)
             self.next_seqno += count
             self._commit(self.catalog.swapped([], runs))
         finally:
@@ -134,7 +139,7 @@ class Store:
         """Turn the buffer into a run of level 0; nothing to do where it is empty. Doesn't compact."""
         if not self.buffer:
             return
-        runs = self._write(self._buffered(), 0, 1)
+        runs = self._write(self._buffered(), 0, 1, len(self.buffer))
         self._commit(self.catalog.swapped([], runs))
         self.buffer = {}
         for name in self._logs:
@@ -145,27 +150,36 @@ class Store:
         rows = [(bytearray(e.key), e.seqno, e.kind, bytearray(e.value)) for e in sorted(self.buffer.values(), key=lambda e: e.key)]
         return self.spark.createDataFrame(rows, ENTRY)
 
-    def _write(self, entries: DataFrame, level: int, files: int | None) -> list[Run]:
-        """Write sorted entries as one run for level 0, or as a run for each file below it."""
+    def _write(self, entries: DataFrame, level: int, files: int | None, count: int = 1) -> list[Run]:
+        """Write sorted entries, about ``count``: as a run for each batch, if they have such a column, as one for level 0, or one for each file below it."""
+        batches = "batch" in entries.columns
         first = self.catalog.next_file
         path = f"runs/{first:06d}"
         self.files.remove(path)  # left by a crash before its commit
         if files == 1:
             parts = entries.coalesce(1).sortWithinPartitions("key")
-        elif files is None:
-            parts = entries.repartitionByRange(F.col("key")).sortWithinPartitions("key")
+        elif batches:
+            parts = entries.repartitionByRange(F.col("batch"), F.col("key")).sortWithinPartitions("batch", "key")
         else:
             parts = entries.repartitionByRange(files, "key").sortWithinPartitions("key")
-        writer = parts.write
+        writer = parts.write.option("parquet.page.size", str(self.options.block_bytes))
         if self.options.bloom_bits_per_key:
-            writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
-        writer.parquet(self.files.full(path))
-        per_file = F.lit("") if level == 0 else F.element_at(F.split(F.input_file_name(), "/"), -1)
-        rows = self._measured(self._read([path]).withColumn("_run", per_file)).orderBy("smallest").collect()
+            share = min(0.5, math.exp(-self.options.bloom_bits_per_key * math.log(2) ** 2))
+            writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", f"{share:.6f}").option("parquet.bloom.filter.expected.ndv#key", str(max(1, -(-count // (files or 1)))))
+        (writer.partitionBy("batch") if batches else writer).parquet(self.files.full(path))
+        if self.options.sync:
+            self.files.sync_tree(path)
+        if batches:
+            name, order = F.regexp_extract(F.input_file_name(), r"/(batch=-?\d+)/[^/]*$", 1), F.regexp_extract("_run", r"(-?\d+)", 1).cast("long")
+            stored = self.spark.read.schema(ENTRY).option("recursiveFileLookup", "true").parquet(self.files.full(path))
+        else:
+            name, order = F.lit("") if level == 0 else F.element_at(F.split(F.input_file_name(), "/"), -1), F.col("smallest")
+            stored = self._read([path])
+        rows = self._measured(stored.withColumn("_run", name)).orderBy(order).collect()  # a row for each run
         runs = []
         for i, r in enumerate(rows):
             at = f"{path}/{r['_run']}" if r["_run"] else path
-            runs.append(Run(first + i, level, at, bytes(r["smallest"]), bytes(r["largest"]), r["first_seqno"], r["last_seqno"], r["size"], r["count"], r["digest"]))
+            runs.append(Run(first + i, level, at, bytes(r["smallest"]), bytes(r["largest"]), r["first_seqno"], r["last_seqno"], r["size"], r["count"], r["digest"], r["tombstones"]))
         if not runs:
             self.files.remove(path)
         self._next_file = first + max(1, len(runs))
@@ -175,7 +189,7 @@ class Store:
     def _measured(entries: DataFrame) -> DataFrame:
         digest = F.bit_xor(F.crc32(F.concat(F.col("key"), F.lit(b"\0"), F.col("seqno").cast("string").cast("binary"), F.col("kind").cast("string").cast("binary"), F.col("value"))))
         return entries.groupBy("_run").agg(
-            F.min("key").alias("smallest"), F.max("key").alias("largest"), F.min("seqno").alias("first_seqno"), F.max("seqno").alias("last_seqno"), F.count("*").alias("count"), digest.alias("digest"),
+            F.min("key").alias("smallest"), F.max("key").alias("largest"), F.min("seqno").alias("first_seqno"), F.max("seqno").alias("last_seqno"), F.count("*").alias("count"), digest.alias("digest"), F.count(F.when(F.col("kind") == DELETE, 1)).alias("tombstones"),
             F.sum(F.octet_length("key") + F.octet_length("value") + ENTRY_OVERHEAD).cast("long").alias("size"),
         )
 
@@ -188,7 +202,28 @@ class Store:
     # Reads
 
     def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(ENTRY).parquet(*[self.files.full(p) for p in paths]) if paths else self.spark.createDataFrame([], ENTRY)
+        """The entries of runs; their files are listed once, as runs never change."""
+        if not paths:
+            return self.spark.createDataFrame([], ENTRY)
+        key = tuple(paths)
+        if (found := self._frames.pop(key, None)) is None:
+            found = self.spark.read.schema(ENTRY).parquet(*[self.files.full(p) for p in paths])
+            while len(self._frames) >= 64:
+                self._frames.pop(next(iter(self._frames)))
+        self._frames[key] = found
+        return found
+
+    def run_entries(self, runs: Iterable[Run] | None = None) -> DataFrame:
+        """The entries of runs (all, if none are given) with ``run_id``: one read, in which a file's name tells its run."""
+        listed = list(self.catalog.runs if runs is None else runs)
+        if not listed:
+            return self.spark.createDataFrame([], ENTRY).withColumn("run_id", F.lit(0).cast("long"))
+        ids = self.spark.createDataFrame([(r.path, r.id) for r in listed], "_path string, run_id long")
+        file = F.regexp_extract(F.input_file_name(), r"/(runs/[^/]+(?:/batch=[^/]+)?/[^/]*)$", 1)
+        named = self._read([r.path for r in listed]).withColumns({"_file": file, "_folder": F.regexp_replace(file, r"/[^/]*$", "")})
+        # A run is a file, or all of a folder.
+        by_file, by_folder = ids.withColumnsRenamed({"_path": "_file", "run_id": "_a"}), ids.withColumnsRenamed({"_path": "_folder", "run_id": "_b"})
+        return named.join(by_file, "_file", "left").join(by_folder, "_folder", "left").select("key", "seqno", "kind", "value", F.coalesce("_a", "_b").alias("run_id"))
 
     def entries(self, over: Range = Range()) -> DataFrame:
         """All stored versions of a range's keys, of the runs that may hold them and the buffer."""
@@ -215,45 +250,85 @@ class Store:
         """The live value of a key; the buffer decides alone where it knows the key."""
         if (e := self.buffer.get(key)) is not None:
             return e.value if e.kind == PUT else None
-        rows = self.scan(Range(key, key, high_open=False), ordered=False).collect()
-        return bytes(rows[0]["value"]) if rows else None
+        over = Range(key, key, high_open=False)
+        # A version in each run at most, so the newest is found without a shuffle.
+        rows = self._read([r.path for r in self.catalog.pruned(over)]).where(over.predicate()).collect()
+        newest = max(rows, key=lambda r: r["seqno"], default=None)
+        return bytes(newest["value"]) if newest is not None and newest["kind"] == PUT else None
+
+    def page(self, over: Range = Range(), limit: int = 100) -> tuple[list[Row], bool]:
+        """The first live pairs of a range by key, at most ``limit``, and whether there are more.
+
+        The range is read piece by piece, each about as far as the runs' counts say that the page may reach, so
+        that a page costs what it holds, not what is left of the range.
+        """
+        rows: list[Row] = []
+        ends = sorted(((r.largest, r.count) for r in self.catalog.pruned(over)), key=lambda r: r[0])
+        reach = 4
+        while True:
+            held, piece = 0, over
+            for largest, count in ends:
+                if over.low is not None and largest <= over.low:
+                    continue
+                held += count
+                if held >= reach * (limit + 1) and (over.high is None or largest < over.high):
+                    piece = replace(over, high=largest, high_open=False)
+                    break
+            found, more = page(self.scan(piece, ordered=False), limit - len(rows))
+            rows += found
+            if more or piece is over:
+                return rows, more
+            over, reach = replace(over, low=piece.high, low_open=True), 2 * reach
 
     def multi_get(self, keys: DataFrame | Iterable[bytes]) -> DataFrame:
         """(key, value) of each distinct key asked for, null where it isn't live. Few keys reach the scan as a list."""
         if isinstance(keys, DataFrame):
-            return resolve.multi_get(self.scan(ordered=False), keys)
+            return resolve.multi_get(self.entries(), keys)
         keys = sorted(set(keys))
         wanted = self.spark.createDataFrame([(bytearray(k),) for k in keys], "key binary")
         over = Range(keys[0], keys[-1], high_open=False) if keys else Range(b"", b"")
-        found = self.latest(over).where(F.col("key").isin([F.lit(k) for k in keys])) if keys else self.latest(over)
-        return resolve.multi_get(resolve.live(found), wanted)
+        found = self.entries(over)
+        return resolve.multi_get(found.where(F.col("key").isin([F.lit(k) for k in keys])) if len(keys) <= 1000 else found, wanted)
 
     # Maintenance
 
-    def compact(self, most: int = 10_000) -> int:
-        """Take steps until none is due; returns how many were taken."""
+    def compact(self, most: int = 1000) -> int:
+        """Take steps until none is due, ``most`` at the utmost; returns how many were taken. What is left is for the next call: ``compaction_due``."""
         for n in range(most):
             if (step := pick(self.catalog, self.options)) is None:
                 return n
             self._merge(step)
-        raise StoreError(f"still compacting after {most} steps")
+        return most
+
+    @property
+    def compaction_due(self) -> bool:
+        return pick(self.catalog, self.options) is not None
 
     def _merge(self, step: Step) -> None:
-        merged = resolve.latest(self._read([r.path for r in step.inputs]))
-        merged = merged.where(F.col("kind") == PUT) if step.drop_tombstones else merged
-        files = max(1, -(-sum(r.size for r in step.inputs) // self.options.target_file_bytes))
-        runs = self._write(merged, step.to, files)
-        self._commit(self.catalog.swapped(list(step.inputs), runs))
+        runs = []
+        if step.inputs:
+            merged = resolve.latest(self._read([r.path for r in step.inputs]))
+            merged = merged.where(F.col("kind") == PUT) if step.drop_tombstones else merged
+            files = max(1, -(-sum(r.size for r in step.inputs) // self.options.target_file_bytes))
+            runs = self._write(merged, step.to, files, sum(r.count for r in step.inputs))
+        self._commit(self.catalog.swapped([*step.inputs, *step.moved], [*(replace(r, level=step.to) for r in step.moved), *runs]))
 
     def vacuum(self) -> int:
-        """Delete catalogs but the last ``keep_versions``, and what no kept catalog refers to; returns the number of run folders deleted."""
+        """Delete catalogs but the last ``keep_versions``, and the files of runs that no kept catalog refers to; returns the number of runs' files and folders deleted."""
         names = [n for n in self.files.list("catalog") if n.endswith(".json")]
         for n in names[: -self.options.keep_versions]:
             self.files.remove(f"catalog/{n}")
-        used = {r.path.split("/")[1] for n in names[-self.options.keep_versions :] for r in Catalog.from_json(self.files.read(f"catalog/{n}")).runs}
-        gone = [d for d in self.files.list("runs") if d not in used]
-        for d in gone:
-            self.files.remove(f"runs/{d}")
+        used = {r.path for n in names[-self.options.keep_versions :] for r in Catalog.from_json(self.files.read(f"catalog/{n}")).runs}
+        folders, gone = {p.split("/")[1] for p in used}, []
+        for d in self.files.list("runs"):
+            if d not in folders:
+                gone.append(f"runs/{d}")
+            elif f"runs/{d}" not in used:
+                inner = [n for n in self.files.list(f"runs/{d}") if n.endswith(".parquet") or n.startswith("batch=")]
+                gone += [f"runs/{d}/{n}" for n in inner if f"runs/{d}/{n}" not in used]
+        for p in gone:
+            self.files.remove(p)
+        self._frames.clear()
         return len(gone)
 
     def verify(self) -> dict[str, int]:
@@ -261,10 +336,7 @@ class Store:
         out = {"tables": len(self.catalog.runs), "entries": sum(r.count for r in self.catalog.runs)}
         if not self.catalog.runs:
             return out
-        parts = [self._read([r.path]).withColumn("_run", F.lit(r.id)) for r in self.catalog.runs]
-        entries = parts[0]
-        for p in parts[1:]:
-            entries = entries.unionByName(p)
+        entries = self.run_entries().withColumnRenamed("run_id", "_run")
         try:
             found = {r["_run"]: r for r in self._measured(entries).collect()}
             twice = entries.groupBy("_run", "key").count().where("count > 1").limit(1).collect()
