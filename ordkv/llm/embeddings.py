@@ -10,6 +10,7 @@ from operator import or_
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -80,11 +81,23 @@ class Index:
     within: int = 0
     recall: float = 1.0
 
-    def segments(self, units: np.ndarray) -> np.ndarray:
-        """A column of longs for each table."""
+    @property
+    def segments(self) -> list[str]:
+        """Columns of a code: its segment for each table."""
+        return [f"s{t}" for t in range(self.tables)]
+
+    @property
+    def words(self) -> list[str]:
+        """Columns of a code: all its bits in words of 64."""
+        return [f"w{i}" for i in range(-(-self.tables * self.width // 64))]
+
+    def codes(self, units: np.ndarray) -> dict[str, np.ndarray]:
         if self.width == 0:
-            return np.zeros((len(units), 1), np.int64)
-        return _segments(self.quantiser.bits(units), self.width, self.tables)
+            return {"s0": np.zeros(len(units), np.int64)}
+        bits = self.quantiser.bits(units)[:, : self.width * self.tables]
+        s = _segments(bits, self.width, self.tables)
+        w = np.packbits(np.pad(bits, ((0, 0), (0, 64 * len(self.words) - bits.shape[1]))), axis=1).view(np.int64)
+        return {c: s[:, t] for t, c in enumerate(self.segments)} | {c: w[:, i] for i, c in enumerate(self.words)}
 
     @property
     def masks(self) -> list[int]:
@@ -157,15 +170,15 @@ def usable(vector: Column) -> Column:
 
 
 def _coded(vectors: DataFrame, name: str, index: Index) -> DataFrame:
-    """(name, s0, s1, ...) of (name, v)."""
+    """(name, and its code's columns) of (name, v)."""
+    columns = [*index.segments, *index.words]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             if len(x):
-                s = index.segments(_unit(np.stack(x["v"])))
-                yield pd.DataFrame({name: x[name], **{f"s{t}": s[:, t] for t in range(index.tables)}})
+                yield pd.DataFrame({name: x[name], **index.codes(_unit(np.stack(x["v"])))})
 
-    return vectors.select(name, "v").mapInPandas(run, f"{name} long, " + ", ".join(f"s{t} long" for t in range(index.tables)))
+    return vectors.select(name, "v").mapInPandas(run, ", ".join(f"{c} long" for c in [name, *columns]))
 
 
 def _keys(codes: DataFrame, index: Index, masks: list[int] = [0]) -> DataFrame:
@@ -194,16 +207,13 @@ def _cells(scratch: Scratch, classes: DataFrame, codes: DataFrame, index: Index,
     The centres are means of heavy buckets; of several near each other, that of the largest stands for all. Any
     vectors may be in no cell: cells only spare comparisons.
     """
-    rows = _keys(codes.select("cid", *[f"s{t}" for t in range(index.tables)]), index).select("k", "cid")
+    rows = _keys(codes, index).select("k", "cid")
     heavy = scratch.write(rows.groupBy("k").agg(F.count("*").alias("m")).where(F.col("m") >= HEAVY), "heavy")
     if heavy.isEmpty():
         return None
     rows = scratch.write(skew_join(rows, heavy, ["k"]), "heavy-rows")
-    unit = array_to_vector(F.transform("v", lambda x: x.cast("double")))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
-    known = classes.select("cid", "v").withColumn("norm", norm).where("norm > 0 AND norm < 1e300")
-    scaled = known.withColumn("v", F.transform("v", lambda x: x.cast("double") / F.col("norm"))).drop("norm")
-    centres = skew_join(rows, scaled, ["cid"]).groupBy("k", "m").agg(Summarizer.mean(unit).alias("c")).select("k", "m", vector_to_array("c").alias("v"))
+    scaled = Normalizer(p=2.0, inputCol="x", outputCol="y").transform(classes.select("cid", array_to_vector("v").alias("x"))).select("cid", "y")
+    centres = skew_join(rows, scaled, ["cid"]).groupBy("k", "m").agg(Summarizer.mean(F.col("y")).alias("c")).select("k", "m", vector_to_array("c").alias("v"))
     centres = scratch.write(centres.where(usable(F.col("v"))), "centres")
 
     def near(batches: Iterator[pd.DataFrame], most: float, out: list[str]) -> Iterator[pd.DataFrame]:
@@ -228,26 +238,29 @@ def _cells(scratch: Scratch, classes: DataFrame, codes: DataFrame, index: Index,
 def _met(codes: DataFrame, index: Index) -> DataFrame:
     """(a, b) of nodes that meet in a table: each pair of single vectors once and within the index's distance; of cells perhaps often.
 
-    codes: (node, s0, s1, ...), several rows for a cell (negative).
+    codes: (node, and its code's columns), several rows for a cell (negative).
     """
-    seg = [f"s{t}" for t in range(index.tables)]
-    table = _keys(codes, index).withColumnsRenamed({"node": "other", **{s: f"o{s}" for s in seg}})
-    probes = _keys(codes, index, index.masks)
-    cell = F.col("node") < 0
-    table = table.withColumns({f"o{s}": F.when(F.col("other") >= 0, F.col(f"o{s}")) for s in seg})
-    probes = probes.withColumns({s: F.when(~cell, F.col(s)) for s in seg})
-    table = table.where("other >= 0").unionByName(table.where("other < 0").distinct())
-    probes = probes.where(~cell).unionByName(probes.where(cell).distinct())
-    differ = [F.bit_count(F.col(s).bitwiseXOR(F.col(f"o{s}"))) for s in seg]
-    first = reduce(lambda found, t: found.when(F.col("t") == t, reduce(lambda x, y: x & y, [differ[i] > index.radius for i in range(t)])), range(1, index.tables), F.when(F.col("t") == 0, F.lit(True)))
-    single = first & (reduce(lambda x, y: x + y, differ) <= index.within) & ((_here(index, differ) > 0) | (F.col("node") < F.col("other")))
-    pairs = probes.join(table.drop("t"), "k").where(F.col("node") != F.col("other")).where(F.when(cell | (F.col("other") < 0), F.lit(True)).otherwise(single))
-    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-
-
-def _here(index: Index, differ: list[Column]) -> Column:
-    """The distance in the table at hand."""
-    return reduce(lambda found, t: found.when(F.col("t") == t, differ[t]), range(1, index.tables), F.when(F.col("t") == 0, differ[0]))
+    columns, cell = [*index.segments, *index.words], F.col("node") < 0
+
+    def merged(rows: DataFrame) -> DataFrame:
+        """A cell has a row for each key, without a code."""
+        return rows.where(~cell).unionByName(rows.where(cell).withColumns({c: F.lit(None).cast("long") for c in columns}).distinct())
+
+    table = merged(_keys(codes, index)).withColumnsRenamed({c: f"o{c}" for c in ["node", *columns]})
+    probes = merged(_keys(codes, index, index.masks))
+    far = [F.bit_count(F.col(c).bitwiseXOR(F.col(f"o{c}"))) for c in index.words]
+    near = reduce(lambda x, y: x + y, far) <= index.within if far else F.lit(True)
+    # Equal segments look each other up; other segments, one the other.
+    apart = [(F.col(c) != F.col(f"o{c}")) if index.radius == 0 else F.bit_count(F.col(c).bitwiseXOR(F.col(f"o{c}"))) > index.radius for c in index.segments]
+    equal = [F.col(c) == F.col(f"o{c}") for c in index.segments]
+    single = F.lit(False)
+    for t in range(index.tables):
+        once = F.lit(True) if index.radius == 0 else ~equal[t]
+        single = single | ((F.col("t") == t) & reduce(lambda x, y: x & y, apart[:t], once | (F.col("node") < F.col("onode"))))
+    if index.radius == 0:
+        near = (F.col("node") < F.col("onode")) & near
+    pairs = probes.join(table.drop("t"), "k").where((F.col("node") != F.col("onode")) & (cell | (F.col("onode") < 0) | (near & single)))
+    return pairs.select(F.least("node", "onode").alias("a"), F.greatest("node", "onode").alias("b"))
 
 
 def links(scratch: Scratch, classes: DataFrame, least: float = 0.95, sample: int = 10_000, index: Index | None = None) -> tuple[DataFrame, DataFrame]:
