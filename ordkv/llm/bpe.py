@@ -3,8 +3,11 @@
 Texts are split into pre-tokens, block by block (a block is up to some MB of one partition's texts). Within a
 block a document is the list of its pre-tokens' numbers, which keeps their positions, and the block's distinct
 words are dealt out by a hash over all blocks. Each distinct word of the corpus meets in one place and is encoded
-once; the ids go back to the blocks, where the documents are put together by position. So words, not tokens, are
-shuffled: positions stay in the documents' rows instead of becoming a row each.
+once; the ids go back to the blocks, where the documents are put together by position and their ids stored. So words,
+not tokens, are shuffled: positions stay in the documents' rows instead of becoming a row each. A map task's words
+for one bucket are one row, as they are one segment of any shuffle. Blocks are put together in waves, of which each frees
+what it read, so that the disk never holds all of them twice. Decoding is a pass of its own over the stored ids, which
+meet the token-byte table there.
 """
 
 from __future__ import annotations
@@ -21,16 +24,20 @@ import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, numbered
 
 #: Texts above this many characters are split without holding all their pre-tokens at once.
 _LONG = 1 << 22
 #: Characters of a block, and pre-tokens of a row of documents (a document is never cut).
 _block_limit = 16 << 20
 _CHUNK = 1 << 18
+#: Waves in which blocks are put together; words whose ids a task remembers; ids of a batch.
+WAVES = 4
+_KNOWN = 1 << 21
+_IDS = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -125,13 +132,56 @@ def _words(z: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
-def encode(docs: DataFrame, ranks: Broadcast, pattern: str, doc_id: str = "doc_id", text: str = "text", finish: Callable[[pd.DataFrame], pd.DataFrame] | None = None, schema: str = "ids array<int>") -> DataFrame:
-    """(doc_id, ids array<int>), a row for each row of docs; null and empty texts have no ids. Other columns are not read.
-
-    ``finish`` may turn each block's rows of ids into the columns of ``schema`` where they are made.
+def _together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents' ids from rows in order of block, a block's words first, then its documents' rows."""
+    block, words, begin, length, flat = None, [], None, None, None
+    for x in batches:
+        out, held = [], 0
+        for b, docs, counts, at, z in zip(x["block"], x["docs"], x["sizes"], x["at"], x["z"], strict=True):
+            if b != block:
+                block, words, flat = b, [], None
+            if at is not None:
+                words.append((at, z))
+                continue
+            if flat is None:
+                begin, length, flat = _listed(words)
+                words = []
+            numbers = _numbers(z)
+            s = length[numbers]
+            ends = np.concatenate(([0], np.cumsum(s)))
+            ids = flat[np.repeat(begin[numbers] - ends[:-1], s) + np.arange(ends[-1])].astype(np.int32)
+            out.append(pd.DataFrame({"doc": docs, "ids": np.split(ids, ends[np.cumsum(counts)[:-1]])}))
+            held += len(ids)
+            if held >= _IDS:
+                yield pd.concat(out, ignore_index=True)
+                out, held = [], 0
+        if out:
+            yield pd.concat(out, ignore_index=True)
+
+
+def _listed(words: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each number of a block's words where its ids begin, and how many they are; all ids."""
+    at, sizes, flat = [], [], []
+    for a, z in words:
+        data = _numbers(z)
+        n = int(data[0])
+        at.append(np.cumsum(_numbers(a), dtype=np.int64))
+        sizes.append(data[1 : 1 + n].astype(np.int64))
+        flat.append(data[1 + n :])
+    at, size, flat = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (at, sizes, flat))
+    begin, length = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    begin[at], length[at] = np.cumsum(size) - size, size
+    return begin, length, flat
+
+
+def encode(docs: DataFrame, ranks: Broadcast, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids array<int>), a row for each row of docs, stored; null and empty texts have no ids.
+
+    Repeated rows are encoded each, and null ids kept. A text is split and put together in one row, however long, in
+    some bytes for each of its own. An empty table gives none. Other columns are not read.
     """
     spark = docs.sparkSession
-    scratch, buckets = Scratch(spark), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    scratch, buckets, (plain, name, _) = Scratch(spark), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), numbered(docs)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compiled, task = regex.compile(pattern), TaskContext.get().partitionId()
@@ -156,80 +206,95 @@ def encode(docs: DataFrame, ranks: Broadcast, pattern: str, doc_id: str = "doc_i
                 ids = []
                 for w in _words(z):
                     if (found := known.get(w)) is None:
+                        if len(known) >= _KNOWN:
+                            known.clear()
                         found = known[w] = np.array(coder._encode_single_piece(w), "<u4").tobytes()
                     ids.append(found)
                 sizes = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
                 done.append(_pack_numbers(np.concatenate((np.array([len(ids)], np.uint32), sizes, np.frombuffer(b"".join(ids), "<u4")))))
             yield pd.DataFrame({"block": x["block"], "at": x["at"], "ids": done})
 
-    def join(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        at, sizes, flat = [], [], []
-        for a, z in zip(words["at"], words["ids"], strict=True):
-            data = _numbers(z)
-            n = int(data[0])
-            at.append(np.cumsum(_numbers(a), dtype=np.int64))
-            sizes.append(data[1 : 1 + n].astype(np.int64))
-            flat.append(data[1 + n :])
-        at, size, flat = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (at, sizes, flat))
-        begin, length = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        begin[at], length[at] = np.cumsum(size) - size, size
-        out = []
-        for docs_, counts, z in zip(texts["docs"], texts["sizes"], texts["z"], strict=True):
-            x = _numbers(z)
-            s = length[x]
-            ends = np.concatenate(([0], np.cumsum(s)))
-            ids = flat[np.repeat(begin[x] - ends[:-1], s) + np.arange(ends[-1])].astype(np.int32)
-            cut = ends[np.cumsum(counts)[:-1]]
-            made = pd.DataFrame({"ids": np.split(ids, cut)})
-            out.append(pd.concat([pd.DataFrame({"doc": docs_}), finish(made) if finish else made], axis=1))
-        return pd.concat(out, ignore_index=True)
-
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("doc"), F.col(text).alias("text"))
+    rows = plain.select(F.coalesce(F.col(name(doc_id)).cast("long"), F.lit(-(2**63))).alias("doc"), F.col(name(text)).alias("text"))
     kinds = "block long, docs array<long>, sizes array<int>, bucket long, at binary, z binary"
-    blocks = scratch.write(rows.mapInPandas(split, kinds).withColumn("kind", F.col("bucket").isNotNull()), "blocks", by="kind")
-    dealt = blocks.where("kind").select("block", "bucket", "at", "z").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    coded = scratch.write(dealt.mapInPandas(merge, "block long, at binary, ids binary"), "words")
-    scratch.drop(blocks, within="kind=true")
-    texts = blocks.where("NOT kind").select("block", "docs", "sizes", "z")
-    done = texts.groupBy("block").cogroup(coded.groupBy("block")).applyInPandas(join, f"doc long, {schema}")
+    blocks = rows.mapInPandas(split, kinds).withColumn("kind", F.when(F.col("bucket").isNotNull(), -1).otherwise(_wave()))
+    blocks = scratch.write(blocks, "blocks", by="kind")
+    dealt = blocks.where("kind = -1").select("block", "bucket", "at", "z").repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
+    coded = scratch.write(dealt.mapInPandas(merge, "block long, at binary, ids binary").withColumn("kind", _wave()), "words", by="kind")
+    scratch.drop(blocks, within="kind=-1")
+    path = scratch.path("ids")
+    for wave in range(WAVES):
+        words = coded.where(F.col("kind") == wave).select("block", "at", F.col("ids").alias("z"))
+        texts = blocks.where(F.col("kind") == wave).select("block", "docs", "sizes", "z")
+        both = words.unionByName(texts, allowMissingColumns=True).select("block", "docs", "sizes", "at", "z")
+        place = F.pmod(F.floor(_order_of() / WAVES), F.lit(buckets)).cast("int")
+        both = both.repartitionById(buckets, place).sortWithinPartitions("block", F.col("at").isNull())
+        scratch.write_to(both.mapInPandas(_together, "doc long, ids array<int>"), f"{path}/wave={wave}")
+        for part in (blocks, coded):
+            scratch.drop(part, within=f"kind={wave}")
+    done = spark.read.schema("doc long, ids array<int>").option("recursiveFileLookup", "true").parquet(path)
     return done.withColumn("doc", F.nullif("doc", F.lit(-(2**63)))).withColumnRenamed("doc", "doc_id")
 
 
+def _order_of() -> Column:
+    """Blocks' ids as small numbers, about one each: the task, and which of its blocks."""
+    return F.shiftright("block", 32) + F.col("block").bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _wave() -> Column:
+    return F.pmod(_order_of(), F.lit(WAVES)).cast("int")
+
+
 class Decoder:
-    """Joins ids with the token-byte table."""
+    """The token-byte table, which ids are joined with by position: a token's place is its id."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.table = {v: k for k, v in ranks.items()}
+        n = max(ranks.values(), default=-1) + 1
+        table = [b""] * n
+        self.known = np.zeros(n, bool)
+        for token, i in ranks.items():
+            table[i] = token
+            self.known[i] = True
+        self.size = np.fromiter(map(len, table), np.int64, n)
+        self.begin = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(table), np.uint8)
 
     def bytes_of(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.table.__getitem__, ids.tolist()))
+        ids = np.asarray(ids, np.int64)
+        if len(ids) and not (0 <= ids.min() and ids.max() < len(self.known) and self.known[ids].all()):
+            raise ValueError("an id outside the token-byte table")
+        out = []
+        for at in range(0, len(ids), _IDS):
+            part = ids[at : at + _IDS]
+            size = self.size[part]
+            ends = np.cumsum(size)
+            out.append(self.bytes[np.repeat(self.begin[part] - ends + size, size) + np.arange(ends[-1])].tobytes())
+        return b"".join(out)
 
 
-def decode(encoded: DataFrame, ranks: Broadcast, ids: str = "ids") -> DataFrame:
-    """encoded with ``decoded`` (binary) in place of the ids; an id outside the table fails. Null ids decode to nothing."""
-    rest = [f.name for f in encoded.schema if f.name != ids]
-
+def _decoded(encoded: DataFrame, ranks: Broadcast, ids: str, kinds: str, finish: Callable[[pd.DataFrame, list[bytes]], pd.DataFrame]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = Decoder(ranks.value)
+        table = Decoder(ranks.value)
         for x in batches:
-            yield x[rest].assign(decoded=[b"" if i is None else coder.bytes_of(i) for i in x[ids]])
+            yield finish(x, [b"" if i is None else table.bytes_of(i) for i in x[ids]])
+
+    return encoded.mapInPandas(run, kinds)
+
 
+def decode(encoded: DataFrame, ranks: Broadcast, ids: str = "ids") -> DataFrame:
+    """encoded with ``decoded`` (binary) in place of the ids; an id outside the table fails. Null ids decode to nothing."""
+    rest = [f.name for f in encoded.schema if f.name != ids]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != ids)
-    return encoded.mapInPandas(run, f"{kinds}, decoded binary")
+    return _decoded(encoded, ranks, ids, f"{kinds}, decoded binary", lambda x, found: x[rest].assign(decoded=found))
 
 
 def digests(docs: DataFrame, ranks: Broadcast, pattern: str, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256; ids if asked): ``encode``, and digests of the ids as little-endian 32-bit integers and of what they decode to."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256; ids if asked): digests of the ids that ``encode`` stored, as little-endian 32-bit integers, and of what they decode to."""
 
-    made_once: list[Decoder] = []
-
-    def finish(x: pd.DataFrame) -> pd.DataFrame:
-        if not made_once:
-            made_once.append(Decoder(ranks.value))
-        coder = made_once[0]
-        rows = [(len(i), hashlib.sha256(i.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(coder.bytes_of(i)).hexdigest()) for i in x["ids"]]
-        made = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+    def finish(x: pd.DataFrame, found: list[bytes]) -> pd.DataFrame:
+        made = pd.DataFrame({"doc_id": x["doc_id"], "n_tokens": [len(i) for i in x["ids"]]})
+        made["ids_sha256"] = [hashlib.sha256(np.asarray(i, "<u4").tobytes()).hexdigest() for i in x["ids"]]
+        made["decoded_sha256"] = [hashlib.sha256(d).hexdigest() for d in found]
         return made.assign(ids=x["ids"]) if keep_ids else made
 
-    return encode(docs, ranks, pattern, doc_id, text, finish, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
-
+    kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    return _decoded(encode(docs, ranks, pattern, doc_id, text), ranks, "ids", kinds, finish)
