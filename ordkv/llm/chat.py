@@ -52,7 +52,8 @@ def preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejec
 
     ``chosen`` and ``rejected`` are arrays of turns as ``conversations`` makes them; null counts as none. The
     longest common prefix of turns is rendered once as prompt; each side's completion is the rest, with the
-    spans of it that are trained on. Equal conversations give two empty completions.
+    spans of it that are trained on. Equal conversations give two empty completions; repeated rows are formatted
+    each; an empty table gives none. Columns of pairs by these names are replaced.
     """
     empty = F.array().cast("array<struct<role:string,text:string>>")
     made = pairs.withColumns({"__a": F.coalesce(F.col(chosen), empty), "__b": F.coalesce(F.col(rejected), empty)})
@@ -63,6 +64,23 @@ def preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejec
     return made.withColumns(cols).drop("__a", "__b")
 
 
+def swapped_answers(turns: DataFrame, conv_id: str = "conv_id") -> DataFrame:
+    """(pair_id, chosen, rejected) of each conversation, for tables that hold no preferences: as it is, and with another's answer.
+
+    rejected has the turns before the last of the assistant, then that of the conversation whose id differs in the
+    lowest bit; null where either has none. pair_id is the id; rows without one are in no pair. A conversation is
+    held in one row, however long; repeated turns count each; an empty table gives none; other columns are not read.
+    """
+    c = conversations(turns.where(F.col(conv_id).isNotNull()), conv_id).withColumnRenamed(conv_id, "pair_id")
+    at = F.expr("array_max(transform(turns, (x, i) -> IF(x.role = 'assistant', i + 1, NULL)))")
+    c = c.withColumn("at", at).withColumn("answer", F.when(F.col("at").isNotNull(), F.element_at("turns", F.col("at"))))
+    side = lambda k: F.first(F.when(F.pmod("pair_id", F.lit(2)) == k, F.struct("pair_id", "turns", "at", "answer")), True)
+    both = c.groupBy(F.floor(F.col("pair_id") / 2).alias("k")).agg(side(0).alias("x"), side(1).alias("y"))
+    each = both.select(F.explode(F.array(F.struct(F.col("x").alias("own"), F.col("y.answer").alias("other")), F.struct(F.col("y").alias("own"), F.col("x.answer").alias("other")))).alias("p")).where("p.own IS NOT NULL")
+    other = F.concat(F.slice("p.own.turns", F.lit(1), F.col("p.own.at") - 1), F.array("p.other"))
+    return each.select("p.own.pair_id", F.col("p.own.turns").alias("chosen"), F.when(F.col("p.own.at").isNotNull() & F.col("p.other").isNotNull(), other).alias("rejected"))
+
+
 def neighbour_pairs(turns: DataFrame, conv_id: str = "conv_id") -> DataFrame:
     """(pair_id, chosen, rejected) of conversations 2k and 2k + 1, for tables that hold no preferences; a missing one is null. Rows without an id are in no pair."""
     c = conversations(turns.where(F.col(conv_id).isNotNull()), conv_id)

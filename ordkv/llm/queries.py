@@ -65,7 +65,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = chat.neighbour_pairs(_table(spark, sf_dir, "conversations"))
+    pairs = chat.swapped_answers(_table(spark, sf_dir, "conversations"))
     return chat.preferences(pairs).drop("chosen", "rejected")
 
 

@@ -62,9 +62,12 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTI
 """
 
 _OP9 = r"""
-WITH c AS (
-  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i,
+WITH t AS (
+  SELECT conv_id AS pair_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i,
          replace(coalesce(role, 'user'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations WHERE conv_id IS NOT NULL),
+e AS (SELECT pair_id, max(i) AS i FROM t WHERE role = 'assistant' GROUP BY pair_id),
+o AS (SELECT own.pair_id, own.i, t.role, t.text FROM e own JOIN e far ON far.pair_id = xor(own.pair_id, 1) JOIN t ON t.pair_id = far.pair_id AND t.i = far.i),
+c AS (SELECT pair_id, 0 AS side, i, role, text FROM t UNION ALL SELECT t.pair_id, 1, t.i, t.role, t.text FROM t JOIN o ON t.pair_id = o.pair_id AND t.i < o.i UNION ALL SELECT pair_id, 1, i, role, text FROM o),
 m AS (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.i, b.i) AS i, coalesce(a.role = b.role AND a.text = b.text, false) AS same
       FROM (SELECT * FROM c WHERE side = 0) a FULL JOIN (SELECT * FROM c WHERE side = 1) b ON a.pair_id = b.pair_id AND a.i = b.i),
 n AS (SELECT pair_id, coalesce(min(CASE WHEN NOT same THEN i END) - 1, count(*))::INT AS n FROM m GROUP BY pair_id),
