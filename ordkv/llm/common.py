@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import tempfile
 import threading
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import remove, removed_at_exit, shared_root
+
 #: A word: a longest run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -45,23 +45,6 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, Callable[[str], str], Callable
     return docs.toDF(*[f"c{i}" for i in range(len(names))]), lambda c: short[c.lower()], back
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets a folder made here; a cluster's can't."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="ordkv-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the session may have ended, or the folder be gone
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 class _Writing:
     """Sets a session's options while any table is written, and puts them back after the last: writers may overlap."""
 
@@ -114,13 +97,13 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_root(spark)}/ordkv-{uuid.uuid4().hex}"
         self._n = 0
-        atexit.register(_remove, spark, self.root)
+        removed_at_exit(spark, self.root)
         if stack := _scopes.__dict__.get("stack"):
             stack[-1].append(self)
 
     def clear(self) -> None:
         """Delete all tables."""
-        _remove(self.spark, self.root)
+        remove(self.spark, self.root)
 
     def path(self, tag: str) -> str:
         self._n += 1
@@ -142,7 +125,7 @@ class Scratch:
     def drop(self, *frames: DataFrame, within: str = "") -> None:
         """Delete tables that nothing reads any more, or a folder within them."""
         for df in frames:
-            _remove(self.spark, f"{df._ordkv_path}/{within}")
+            remove(self.spark, f"{df._ordkv_path}/{within}")
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -118,11 +118,28 @@ def test_urls(spark, monkeypatch, most):
     found = urls.judge(pages, URL_RULES).collect()
     assert len(found) == len(cases) * 2
     assert all((r["__host"], r["__path"], r["__rule"], r["__verdict"]) == slow(r.url) for r in found)
+    clash = urls.judge(pages.withColumns({c: F.lit("old") for c in ("__rule", "__mix", "c0", "token")}), URL_RULES)
+    assert clash.columns[3:] == ["__mix", "c0", "token", "__host", "__path", "__rule", "__verdict"] and Counter(r["__rule"] for r in clash.collect()) == Counter(r["__rule"] for r in found)
     every = urls.judge(pages, [urls.Rule("block", "", "/e"), *URL_RULES]).where("url = 'http://notexample.com/en/'").first()
     assert every["__rule"] == "com/"
+    any_path = urls.judge(spark.createDataFrame([("http://a.net.network/x",), ("http://b.A.net",), ("http://a.net?q",), ("http://a.network",)], "url string"), [urls.Rule("block", "A.net", "")])
+    assert [r["__verdict"] for r in sorted(any_path.collect(), key=lambda r: r.url)] == ["allow", "block", "allow", "block"]
+    for bad in (("deny", "a"), ("block", "a/b"), ("block", "a", "x")):
+        with pytest.raises(ValueError):
+            urls.Rule(*bad)
     assert not urls.judge(pages.limit(0), URL_RULES).collect()
 
 
+def test_only_rules_of_the_rarest_token_are_run(spark):
+    rules = [urls.Rule("block", "spam.example.com", "/x/"), urls.Rule("block", "example.com", "/x/"), urls.Rule("allow", "", "/y"), urls.Rule("block", "com", "/")]
+    assert [t for t, *_ in urls.index(rules, {"h:com": 9, "h:example": 5, "h:spam": 1, "p:x": 2})] == ["h:spam", "p:x", "*", "h:com"]
+    cases = [f"http://a{i}.example.com/z/" for i in range(5)] + ["http://spam.example.com/q", "http://b.org/x/y"]
+    host, path = urls.parse(F.col("url"))
+    spread = spark.createDataFrame([(u,) for u in cases], "url string").withColumn("token", F.explode(urls.tokens(host, path)))
+    run = Counter((r.url, r.rule) for r in urls.candidates(spread, rules, lambda x: x).collect())
+    assert run == Counter([(u, "/y") for u in cases] + [(u, "com/") for u in cases[:6]] + [("http://spam.example.com/q", "spam.example.com/x/"), ("http://b.org/x/y", "example.com/x/")])
+
+
 def slow_base(t):
     w, c, at = re.findall(r"[^\x20\x09-\x0D]+", t or ""), Counter(), set()
     grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
@@ -308,7 +325,7 @@ def _hard_vectors():
     yield "two groups of near copies", np.concatenate([noise(1) + 0.1 * noise(300), noise(1) + 0.02 * noise(200), noise(300)])
 
 
-@pytest.mark.parametrize(("name", "v"), _hard_vectors(), ids=lambda x: x if isinstance(x, str) else "")
+@pytest.mark.parametrize(("name", "v"), list(_hard_vectors()), ids=lambda x: x if isinstance(x, str) else "")
 def test_embeddings_recall(spark, name, v):
     x = v.astype(np.float32).astype(float)
     found = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>").repartition(3)).collect()}
@@ -473,6 +490,35 @@ def test_chat(spark):
     assert (found[3].n_prompt_turns, found[3].chosen_text, found[3].rejected_text) == (1, "", "")
 
 
+def slow_chat(rows):
+    """(pair_id, n, prompt, chosen, rejected) of each conversation by plain lists."""
+    by, show = defaultdict(list), lambda ts: "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in ts)
+    for c, n, r, t in rows:
+        if c is not None:
+            by[c].append(((n is not None, n or 0), ("user" if r is None else r).replace("<|", "< |"), (t or "").replace("<|", "< |")))
+    by = {c: [x[1:] for x in sorted(v)] for c, v in by.items()}
+    last = {c: max((i for i, (r, _) in enumerate(v) if r == "assistant"), default=None) for c, v in by.items()}
+    for c, own in by.items():
+        far = c ^ 1
+        other = own[: last[c]] + [by[far][last[far]]] if last[c] is not None and last.get(far) is not None else []
+        n = next((i for i, (a, b) in enumerate(zip(own, other)) if a != b), min(len(own), len(other)))
+        yield c, n, show(own[:n]), show(own[n:]), show(other[n:])
+
+
+def test_chat_of_swapped_answers(spark):
+    rng = random.Random(6)
+    rows = [(c, n, rng.choice(["user", "assistant", "system", None]), rng.choice(["a", "b", "<|im_end|>", None, "é✓"])) for c in range(40) for n in range(rng.randint(1, 5))]
+    rows += [rows[0], (41, None, "assistant", "x"), (40, 0, "user", "q"), (40, 1, "assistant", "x"), (40, 2, "user", "bye"), (None, 0, "assistant", "lost"), (60, 0, "assistant", "alone"), (-3, 0, "assistant", "left"), (-4, 0, "assistant", "right"), (50, 0, "user", "u" * 300_000), (51, 0, "assistant", "v")]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, pair_id string, turns int").repartition(3)
+    found = chat.preferences(chat.swapped_answers(frame)).collect()
+    assert Counter((r.pair_id, r.n_prompt_turns, r.prompt, r.chosen_text, r.rejected_text) for r in found) == Counter(slow_chat(rows))
+    assert sum(r.n_prompt_turns > 0 for r in found) > 5
+    for r in found:
+        for text, spans in ((r.chosen_text, r.chosen_spans), (r.rejected_text, r.rejected_spans)):
+            assert [text[slice(*map(int, s.split(":")))] for s in spans.split(",") if s] == re.findall(r"(?s)<\|im_start\|>assistant\n(.*?<\|im_end\|>\n)", text)
+    assert chat.preferences(chat.swapped_answers(frame.limit(0))).collect() == []
+
+
 def test_warc(spark, tmp_path):
     big, small = "<p>é" + "x" * 1200, "tiny\r\n\r\nWARC/1.1\r\nContent-Length: 9\r\n\r\n"
     rows = [(1, "http://a/\r\nX: y", big), (2, "http://b/", big), (3, None, small), (4, "u", small), (5, "v", None), (6, "v", ""), (7, "w", "x" * 1000), (2, "http://b/", big), (None, "n", big)]
