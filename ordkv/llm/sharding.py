@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, running_totals
+from .common import Scratch, numbered, running_totals
 
 
 def shards(docs: DataFrame, n: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -14,12 +14,15 @@ def shards(docs: DataFrame, n: int, doc_id: str = "doc_id", text: str = "text")
     size is the text's UTF-8 bytes (null: none) plus 1. Rows are in order of doc_id (null first), then checksum
     and size; a row goes to the shard in which its middle byte falls when the total is cut into n equal parts,
     so shards are contiguous and differ from equal by less than a document. slot counts from 0 within a shard.
-    Only ids, sizes and checksums are shuffled, never texts. Shards may be empty where documents are few.
+    Only ids, sizes and checksums are shuffled, never texts. Shards may be empty where documents are few. Rows that are
+    alike follow each other in any order, and may be dealt to many tasks and shards; null and empty texts have size
+    1; a very long text is in one shard; an empty table gives none. Other columns are not read.
     """
-    scratch = Scratch(docs.sparkSession)
-    t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(t) + F.lit(1)).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"))
-    placed = running_totals(scratch, rows, ["doc_id", "text_crc32", "size"], {"__before": "size"}, "rows")
+    scratch, (plain, name, _) = Scratch(docs.sparkSession), numbered(docs)
+    t = F.coalesce(F.col(name(text)), F.lit(""))
+    rows = plain.select(F.col(name(doc_id)).alias("doc_id"), (F.octet_length(t) + F.lit(1)).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"))
+    rows = scratch.write(rows.withColumn("salt", F.monotonically_increasing_id()), "sizes")
+    placed = running_totals(scratch, rows, ["doc_id", "text_crc32", "size", "salt"], {"__before": "size"}, "rows").drop("salt")
     placed = scratch.write(placed, "placed")
     total = placed.agg(F.sum("size")).first()[0] or 1
     placed = placed.withColumn("shard", F.expr(f"CAST((2 * __before + size) * {n} DIV {2 * total} AS INT)"))

@@ -44,11 +44,12 @@ def check_stages(spark, docs):
 
     size, target = slow_mix([(r.doc_id, r.text, r.source) for r in kept["suffix_dedup"]], [1, 2, 3])
     words, taken, largest = {r.doc_id: len(r.text.split()) for r in kept["suffix_dedup"]}, Counter(), Counter()
+    for r in kept["suffix_dedup"]:
+        largest[r.source] = max(largest[r.source], words[r.doc_id])
     for r in kept["source_mixing"]:
         taken[r.source] += words[r.doc_id]
-        largest[r.source] = max(largest[r.source], words[r.doc_id])
     assert max(Counter(r.doc_id for r in kept["source_mixing"]).values(), default=0) <= 3
-    assert all(abs(taken[s] - target[s]) <= 2 * largest[s] for s in size)
+    assert all(abs(taken[s] - target[s]) <= largest[s] / 2 for s in size)
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coder = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
