@@ -43,7 +43,7 @@ class Store:
             self.files.mkdirs(d)
         self._lock = f"{uuid.uuid4().hex} {os.getpid()}".encode()
         try:
-            self.files.create("LOCK", self._lock)
+            self.files.create("LOCK", self._lock, self.options.sync)
         except FileExistsError as e:
             raise StoreError(f"{path} is open elsewhere, or was not closed; remove LOCK if nothing uses it") from e
         try:
