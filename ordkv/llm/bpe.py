@@ -297,4 +297,5 @@ def digests(docs: DataFrame, ranks: Broadcast, pattern: str, doc_id: str = "doc_
         return made.assign(ids=x["ids"]) if keep_ids else made
 
     kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return _decoded(encode(docs, ranks, pattern, doc_id, text), ranks, "ids", kinds, finish)
+    found = _decoded(encode(docs, ranks, pattern, doc_id, text), ranks, "ids", kinds, finish)
+    return Scratch(docs.sparkSession).write(found, "digests")  # in batches of bounded bytes
