@@ -21,6 +21,8 @@ class Options:
     max_scan_page: int = 10_000
     max_tx_bytes: int = 64 << 20
     max_frame_bytes: int = 8 << 20
+    #: Seconds in which a frame that has begun must be whole; a connection between frames may idle.
+    max_frame_seconds: int = 30
     #: A single write larger than this is refused, as replay would take it for damage.
     max_record_bytes: int = 64 << 20
     #: Catalog versions whose runs vacuum keeps.
