@@ -16,7 +16,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 or more of their sets of five-word shingles."""
+    """One document of each group linked by a similarity of 0.8 or more of their sets of five-word shingles; SimHash tables find the pairs, an exact pass those that they miss."""
     return similar.keep_one(docs)
 
 

@@ -16,6 +16,9 @@ from .common import Scratch, connected_components, numbered, skew_join
 #: Every eighth bit of a 64-bit word: eight counters in one word.
 _LANES = np.uint64(0x0101010101010101)
 _CHUNK = 255 * 512
+#: Bits of a wide fingerprint.
+WIDE = 512
+_STEPS = np.arange(WIDE // 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def _majority(h: np.ndarray) -> int:
@@ -80,6 +83,32 @@ def _probes(fps: DataFrame) -> DataFrame:
     )
 
 
+def _widened(h: np.ndarray) -> np.ndarray:
+    """WIDE bits of each of the words h: itself, then mixed words of it."""
+    x = h[:, None] + _STEPS
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    x[:, 0] = h
+    return x
+
+
+def segments(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The SimHash of the words h, of WIDE bits (the first 64: the plain one), as segments of ``width`` bits (31 at most; what is left over is dropped).
+
+    Also, for each segment, a mask of its two bits whose counts are nearest to half: the likeliest to differ in a near copy.
+    """
+    counts = np.zeros(WIDE, np.int64)
+    for at in range(0, len(h), 255):
+        bits = np.unpackbits(_widened(h[at : at + 255]).astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        counts += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    over = 2 * counts - len(h)
+    over = over[: WIDE // width * width].reshape(-1, width)
+    worth = np.int64(1) << np.arange(width, dtype=np.int64)
+    least = np.argsort(np.abs(over), axis=1, kind="stable")[:, :2]
+    return ((over > 0) @ worth).astype(np.int32), worth[least].sum(1).astype(np.int32)
+
+
 def links(scratch: Scratch, fps: DataFrame, bucket_limit: int = 16) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of distinct fingerprints (fp) at distance 2 or less.
 
