@@ -152,6 +152,17 @@ def test_batches_become_runs_at_once(spark, tmp_path):
         assert {bytes(r["key"]): r["value"] and bytes(r["value"]) for r in store.multi_get(wanted).collect()} == {b"k1": truth.get(b"k1"), b"nokey": None}
 
 
+def test_filters_of_small_batches_are_small(spark, tmp_path):
+    """A file's filter fits its own keys, however many other batches hold."""
+    rows = spark.range(40_200).selectExpr("CASE WHEN id < 40000 THEN -1 ELSE (id - 40000) div 20 END AS batch", "id AS ord", "0Y AS kind", "encode(concat('key', id), 'UTF-8') AS key", "X'' AS value")
+    with Store(spark, str(tmp_path / "s"), QUIET) as store:
+        store.write_batches(rows)
+        files = {r.count: sum(f.stat().st_size for f in (tmp_path / "s" / r.path).glob("*.parquet")) for r in store.catalog.runs}
+        assert sorted(files) == [20, 40_000] and files[20] < 6_000 and files[40_000] > 40_000
+        assert store.get(b"key7") == store.get(b"key40007") == b"" and store.get(b"key40200") is None
+        store.verify()
+
+
 def test_asked_keys_are_taken_before_versions_are_resolved(spark, tmp_path):
     with Store(spark, str(tmp_path / "s"), QUIET) as store:
         for n in range(2):
