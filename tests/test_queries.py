@@ -31,5 +31,15 @@ def test_query(spark, duck, name):
     assert rows(entry.queries()[name](spark, SF).toArrow()) == rows(want)
 
 
+def test_a_query_makes_only_the_store_that_it_asks(spark, monkeypatch):
+    made, new = [], entry.core.Store.write_batches
+    monkeypatch.setattr(entry.core, "_made", {})
+    monkeypatch.setattr(entry.core.Store, "write_batches", lambda self, ops: (made.append(self.files.root.rpartition("/")[2]), new(self, ops))[1])
+    for name, store in (("run_meta", ["runs"]), ("overlapping_runs", []), ("resume_seqno", ["logged"]), ("point_get", [])):
+        entry.queries()[name](spark, SF).collect()
+        assert made == store, name
+        made.clear()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
